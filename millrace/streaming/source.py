@@ -16,4 +16,7 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).withColumn("ts", to_instant("ts"))
+    # A plain path has to be a folder; a pattern, here one that only this name matches,
+    # may also name a file.
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return reader.parquet(f"{folder}/{{{name}}}").withColumn("ts", to_instant("ts"))
