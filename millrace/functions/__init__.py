@@ -1,15 +1,17 @@
 """Column helpers built from Spark's own functions."""
 
 from .event_time import from_instant, interval, micros, span_micros, to_instant
-from .money import money, net_price
+from .money import TEN_THOUSANDTHS, amount, hundredths, net_price
 from .props import json_long
 
 __all__ = [
+    "TEN_THOUSANDTHS",
+    "amount",
+    "hundredths",
     "from_instant",
     "interval",
     "json_long",
     "micros",
-    "money",
     "net_price",
     "span_micros",
     "to_instant",

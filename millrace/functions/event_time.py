@@ -22,8 +22,13 @@ def _column(column: str | Column) -> Column:
 
 def span_micros(span: Column) -> Column:
     """Microseconds in a day-time interval, as bigint."""
-    seconds = span.cast("interval second").cast("decimal(18,6)")
-    return (seconds * F.lit(1_000_000)).cast("bigint")
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), span).cast("bigint")
+
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    seconds = F.extract(F.lit("SECOND"), span)  # decimal(8,6), with the fraction
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
 def micros(column: str | Column) -> Column:
@@ -38,9 +43,7 @@ def to_instant(column: str | Column) -> Column:
 
 def from_instant(column: str | Column) -> Column:
     """``timestamp`` to ``timestamp_ntz``: the UTC wall clock of that instant."""
-    seconds = F.unix_micros(_column(column)).cast("decimal(20,0)") / F.lit(1_000_000)
-    zero = F.lit(0)
-    return F.expr(_EPOCH) + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return F.expr(_EPOCH) + F.unix_micros(_column(column)) * F.lit(timedelta(microseconds=1))
 
 
 def interval(span: timedelta) -> str:

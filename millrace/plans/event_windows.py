@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money
+from ..functions import amount, hundredths
 from ..operators import Measures, count_rows, sessions, sliding, tumbling
 from ..sources import Tables
 
@@ -17,11 +17,11 @@ GAP = timedelta(minutes=30)
 
 
 def event_measures() -> Measures:
-    return {"n_events": count_rows(), "value": ("sum", money("value"))}
+    return {"n_events": count_rows(), "value": ("sum", hundredths("value"))}
 
 
 def as_double(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.col("value").cast("double"))
+    return df.withColumn("value", amount("value"))
 
 
 def hourly_events(spark: SparkSession, root: str) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import net_price
+from ..functions import TEN_THOUSANDTHS, amount, net_price
 from ..operators import with_match, without_match
 from ..sources import Tables
 
@@ -23,40 +23,49 @@ def in_year(column: str, year: int) -> Column:
     return (F.col(column) >= first) & (F.col(column) < after)
 
 
-def _orders_by_nation(tables: Tables, year: int) -> DataFrame:
-    # Orders meet customers before lines do, so that the largest table is shuffled
-    # once, by order key, and never again with other columns attached.
-    return (
-        tables.orders.filter(in_year("o_orderdate", year))
-        .join(tables.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "c_nationkey")
+def _summed(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.sum("revenue").alias("revenue"), F.sum("n_lines").alias("n_lines"))
+
+
+def revenue_by_nation(tables: Tables, orders: DataFrame) -> DataFrame:
+    """Revenue (in ten-thousandths) and line count per ``c_nationkey``, for these orders.
+
+    Every table is shuffled once, on the key of the next join, and is summed per key in
+    the map tasks before that. So lines move once and narrow, and neither an order with
+    very many lines nor a customer with very many orders reaches a join as more than one row.
+    """
+    per_order = tables.lineitem.groupBy("l_orderkey").agg(
+        F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines")
+    )
+    per_customer = _summed(
+        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey"
+    )
+    return _summed(
+        per_customer.join(tables.customer, F.col("o_custkey") == F.col("c_custkey")), "c_nationkey"
     )
 
 
 def nation_revenue(spark: SparkSession, root: str) -> DataFrame:
     """Revenue and line count of 1997 per nation of the customer."""
     tables = Tables(spark, root)
-    by_key = (
-        tables.lineitem.join(
-            _orders_by_nation(tables, 1997), F.col("l_orderkey") == F.col("o_orderkey")
-        )
-        .groupBy("c_nationkey")
-        .agg(F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
-    )
-    return by_key.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "n_name", F.col("revenue").cast("double").alias("revenue"), "n_lines"
+    by_nation = revenue_by_nation(tables, tables.orders.filter(in_year("o_orderdate", 1997)))
+    return by_nation.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "n_name", amount("revenue", TEN_THOUSANDTHS), "n_lines"
     )
 
 
 def local_supplier_revenue(spark: SparkSession, root: str) -> DataFrame:
     """Revenue of 1997 per nation from lines whose customer and supplier share it."""
     tables = Tables(spark, root)
-    # One row per nation and supplier is left before suppliers are joined, so neither a
-    # busy supplier nor the width of a line reaches that join.
+    # Orders meet customers before lines do, so that lines are shuffled once, by order.
+    # One row per nation and supplier is left before suppliers are joined.
+    orders = (
+        tables.orders.filter(in_year("o_orderdate", 1997))
+        .join(tables.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", "c_nationkey")
+    )
     by_supplier = (
-        tables.lineitem.join(
-            _orders_by_nation(tables, 1997), F.col("l_orderkey") == F.col("o_orderkey")
-        )
+        tables.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("c_nationkey", "l_suppkey")
         .agg(F.sum(net_price()).alias("revenue"))
     )
@@ -68,25 +77,25 @@ def local_supplier_revenue(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("s_nationkey")
         .agg(F.sum("revenue").alias("revenue"))
         .join(tables.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("n_name", F.col("revenue").cast("double").alias("revenue"))
+        .select("n_name", amount("revenue", TEN_THOUSANDTHS))
     )
 
 
 def brand_revenue(spark: SparkSession, root: str) -> DataFrame:
     """Revenue, lines and parts sold per brand."""
     tables = Tables(spark, root)
-    by_part = (
-        tables.lineitem.groupBy("l_partkey")
-        .agg(F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
+    by_part = tables.lineitem.groupBy("l_partkey").agg(
+        F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines")
     )
     return (
         by_part.join(tables.part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("p_brand")
         .agg(
-            F.sum("revenue").cast("double").alias("revenue"),
+            F.sum("revenue").alias("revenue"),
             F.sum("n_lines").alias("n_lines"),
             F.count(F.lit(1)).alias("n_parts"),
         )
+        .withColumn("revenue", amount("revenue", TEN_THOUSANDTHS))
     )
 
 

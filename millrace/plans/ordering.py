@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, span_micros
+from ..functions import amount, hundredths, span_micros
 from ..operators import running
 from ..sources import Tables
 
@@ -24,10 +24,10 @@ def running_value(spark: SparkSession, root: str) -> DataFrame:
     events = Tables(spark, root).events.select("user_id", "event_id", "ts", "value")
     totals = {
         "events_so_far": F.lit(1).cast("bigint"),
-        "value_so_far": money("value"),
+        "value_so_far": hundredths("value"),
     }
     return running(events, ["user_id"], ["ts", "event_id"], totals).withColumn(
-        "value_so_far", F.col("value_so_far").cast("double")
+        "value_so_far", amount("value_so_far")
     )
 
 

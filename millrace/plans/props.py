@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_long, money
+from ..functions import amount, hundredths, json_long
 from ..sources import Tables
 
 
@@ -29,8 +29,8 @@ def value_by_prop(spark: SparkSession, root: str) -> DataFrame:
     return events.groupBy("k").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("event_type") == "purchase").alias("n_purchases"),
-        F.sum(money("value")).cast("double").alias("value"),
-    )
+        F.sum(hundredths("value")).alias("value"),
+    ).withColumn("value", amount("value"))
 
 
 QUERIES = {"props_by_type": props_by_type, "value_by_prop": value_by_prop}

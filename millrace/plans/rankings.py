@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, net_price
+from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
 from ..operators import top_k
 from ..sources import Tables
 
@@ -19,7 +19,7 @@ def top_orders_per_customer(spark: SparkSession, root: str) -> DataFrame:
 def top_customers_per_nation(spark: SparkSession, root: str) -> DataFrame:
     """The five customers of each nation with the highest order value."""
     tables = Tables(spark, root)
-    spent = tables.orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("spent"))
+    spent = tables.orders.groupBy("o_custkey").agg(F.sum(hundredths("o_totalprice")).alias("spent"))
     customers = spent.join(tables.customer, F.col("o_custkey") == F.col("c_custkey"))
     best = top_k(
         customers.select("c_nationkey", "c_custkey", "spent"),
@@ -28,7 +28,7 @@ def top_customers_per_nation(spark: SparkSession, root: str) -> DataFrame:
         [F.desc("spent"), F.asc("c_custkey")],
     )
     return best.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "n_name", "rank", "c_custkey", F.col("spent").cast("double").alias("spent")
+        "n_name", "rank", "c_custkey", amount("spent")
     )
 
 
@@ -43,7 +43,7 @@ def top_parts_per_brand(spark: SparkSession, root: str) -> DataFrame:
         ["p_brand"],
         [F.desc("revenue"), F.asc("p_partkey")],
     )
-    return best.withColumn("revenue", F.col("revenue").cast("double"))
+    return best.withColumn("revenue", amount("revenue", TEN_THOUSANDTHS))
 
 
 def first_event_per_user_and_type(spark: SparkSession, root: str) -> DataFrame:

@@ -5,29 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, net_price
+from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
 from ..operators import count_rows, subtotals
 from ..sources import Tables
+from .joins import revenue_by_nation
 
 
 def revenue_rollup(spark: SparkSession, root: str) -> DataFrame:
     """Revenue per nation and region of the customer, and overall."""
     tables = Tables(spark, root)
-    lines = tables.lineitem.join(
-        tables.orders.join(tables.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-            "o_orderkey", "c_nationkey"
-        ),
-        F.col("l_orderkey") == F.col("o_orderkey"),
-    )
-    by_nation = lines.groupBy("c_nationkey").agg(
-        F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines")
-    )
+    by_nation = revenue_by_nation(tables, tables.orders)
     named = by_nation.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         tables.region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     measures = {"revenue": ("sum", F.col("revenue")), "n_lines": ("sum", F.col("n_lines"))}
     return subtotals(named, ["r_name", "n_name"], measures, "rollup").withColumn(
-        "revenue", F.col("revenue").cast("double")
+        "revenue", amount("revenue", TEN_THOUSANDTHS)
     )
 
 
@@ -36,13 +29,13 @@ def orders_cube(spark: SparkSession, root: str) -> DataFrame:
     orders = Tables(spark, root).orders.withColumn("o_year", F.year("o_orderdate"))
     measures = {
         "n_orders": count_rows(),
-        "total": ("sum", money("o_totalprice")),
+        "total": ("sum", hundredths("o_totalprice")),
         "smallest": ("min", F.col("o_totalprice")),
         "largest": ("max", F.col("o_totalprice")),
     }
     keys = ["o_orderstatus", "o_orderpriority", "o_year"]
     return subtotals(orders, keys, measures, "cube").withColumn(
-        "total", F.col("total").cast("double")
+        "total", amount("total")
     )
 
 
@@ -50,15 +43,15 @@ def line_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
     """Lines by flag and status, by ship year, and overall."""
     lines = Tables(spark, root).lineitem.withColumn("l_year", F.year("l_shipdate"))
     measures = {
-        "quantity": ("sum", money("l_quantity")),
+        "quantity": ("sum", hundredths("l_quantity")),
         "revenue": ("sum", net_price()),
         "n_lines": count_rows(),
     }
     keys = ["l_returnflag", "l_linestatus", "l_year"]
     sets = [["l_returnflag", "l_linestatus"], ["l_year"], []]
     report = subtotals(lines, keys, measures, sets)
-    return report.withColumn("quantity", F.col("quantity").cast("double")).withColumn(
-        "revenue", F.col("revenue").cast("double")
+    return report.withColumn("quantity", amount("quantity")).withColumn(
+        "revenue", amount("revenue", TEN_THOUSANDTHS)
     )
 
 

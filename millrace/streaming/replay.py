@@ -22,9 +22,15 @@ STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Joins up sessions in each map task, before a busy key is shuffled to one task.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Progress reports kept per query; late rows are counted over them.
+    "spark.sql.streaming.numRecentProgressUpdates": "10000",
 }
 
 
+class LateEvents(RuntimeError):
+    """Events came after the watermark had closed their window."""
+
+
 def replay(
     spark: SparkSession,
     path: str,
@@ -32,6 +38,7 @@ def replay(
     label: str,
     close_after: timedelta | None = None,
     files_per_batch: int | None = None,
+    drop_late: bool = False,
 ) -> DataFrame:
     """Run ``build`` over the event files at ``path`` in append mode; return its output.
 
@@ -40,6 +47,10 @@ def replay(
     one, which moves the watermark past them. It has to exceed the delay plus the
     longest window or gap; the closing event's own window then stays open and unwritten.
 
+    Files are taken oldest first, by default 1000 to a batch. A watermark drops what comes
+    out of order by more than its delay; as a replay is meant to be whole, that raises
+    :class:`LateEvents` unless ``drop_late`` is set.
+
     Output, checkpoint and closing event lie in a new folder below the shared one. The
     file sink's log makes a batch that is run again replace what it wrote before.
     """
@@ -51,7 +62,7 @@ def replay(
         events.limit(0).write.parquet(closing)
         stream = stream.unionByName(event_stream(spark, closing))
     result = build(stream)
-    _drain(result, folder)
+    late = _drain(result, folder)
     if close_after is not None:
         later = F.max("ts") + F.lit(close_after)
         last = events.agg(later.alias("ts"))
@@ -61,11 +72,14 @@ def replay(
             if field.name != "ts"
         ]
         last.select("ts", *others).select(*events.columns).write.mode("append").parquet(closing)
-        _drain(result, folder)
+        late += _drain(result, folder)
+    if late and not drop_late:
+        raise LateEvents(f"{late} late rows were dropped: raise the delay, or set drop_late")
     return spark.read.schema(result.schema).parquet(f"{folder}/output")
 
 
-def _drain(result: DataFrame, folder: str) -> None:
+def _drain(result: DataFrame, folder: str) -> int:
+    """Process what is there, and return how many rows the watermark dropped."""
     with _settings(result.sparkSession, STREAM_SETTINGS):
         query = (
             result.writeStream.format("parquet")
@@ -76,6 +90,11 @@ def _drain(result: DataFrame, folder: str) -> None:
             .start()
         )
     query.awaitTermination()
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
 
 
 @contextmanager
