@@ -1,10 +1,11 @@
 """Structured Streaming forms of the event jobs."""
 
-from .replay import replay
+from .replay import LateEvents, replay
 from .source import event_stream
 from .windows import deduplicated, session_windows, sliding_windows, tumbling_windows
 
 __all__ = [
+    "LateEvents",
     "deduplicated",
     "event_stream",
     "replay",
