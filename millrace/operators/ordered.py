@@ -14,8 +14,8 @@ def running(
     order: list[str],
     totals: dict[str, Column] | None = None,
     previous: dict[str, str] | None = None,
-    max_group_rows: int = 5_000_000,
-    piece_rows: int = 2_000_000,
+    max_group_rows: int = 10_000_000,
+    piece_rows: int = 10_000_000,
 ) -> DataFrame:
     """Add running totals, and values of the row before, per group.
 

@@ -1,4 +1,9 @@
-"""Set and multiset operations on rows with the same columns."""
+"""Set and multiset operations on rows with the same columns.
+
+Apart from the union, each is one aggregation of both sides together: a value's copies
+are counted in the map tasks, so only one row per value, side and task is shuffled, and
+no join can meet a value with very many copies. Nulls count as equal, as in SQL.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +12,18 @@ from pyspark.sql import functions as F
 
 
 def union_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of either side, without copies."""
     return left.unionByName(right).distinct()
 
 
 def intersect_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in both. Spark would join first and remove copies afterwards; removing
-    them first reduces a value with many copies to one row per map task."""
-    return left.distinct().intersect(right.select(*left.columns).distinct())
+    """Rows in both, without copies."""
+    return _counted(left, right).filter("_left > 0 and _right > 0").select(*left.columns)
 
 
 def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` that are not in ``right``, without copies."""
-    return left.distinct().subtract(right.select(*left.columns).distinct())
+    return _counted(left, right).filter("_left > 0 and _right = 0").select(*left.columns)
 
 
 def intersect_all(left: DataFrame, right: DataFrame, block: int = 100_000) -> DataFrame:
@@ -31,20 +36,25 @@ def except_all(left: DataFrame, right: DataFrame, block: int = 100_000) -> DataF
     return _copies(left, right, F.col("_left") - F.col("_right"), block)
 
 
-def _copies(left: DataFrame, right: DataFrame, copies: Column, block: int) -> DataFrame:
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
     columns = left.columns
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    counted = (
+    return (
         left.select(*columns, one.alias("_left"), none.alias("_right"))
         .unionAll(right.select(*columns, none.alias("_left"), one.alias("_right")))
         .groupBy(*columns)
         .agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
-        .select(*columns, copies.alias("_copies"))
-        .filter("_copies > 0")
     )
-    # Only counts have been shuffled so far. The copies of one value are written out in
-    # blocks that are spread over tasks; a fixed partition number keeps adaptive
-    # execution from putting the (still tiny) blocks together again.
+
+
+def _copies(left: DataFrame, right: DataFrame, copies: Column, block: int) -> DataFrame:
+    columns = left.columns
+    counted = (
+        _counted(left, right).select(*columns, copies.alias("_copies")).filter("_copies > 0")
+    )
+    # The copies of one value are written out in blocks that are spread over tasks; a
+    # fixed partition number keeps adaptive execution from putting the (still tiny)
+    # blocks together again.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.sequence(F.lit(0), F.expr(f"(_copies - 1) div {block}"))
     rest = F.least(F.lit(block), F.col("_copies") - F.col("_block") * block)

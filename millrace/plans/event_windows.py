@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amount, hundredths
-from ..operators import Measures, count_rows, sessions, sliding, tumbling
+from ..operators import Measures, count_rows, sessions, sliding, top_k, tumbling
 from ..sources import Tables
 
 HOUR = timedelta(hours=1)
@@ -43,9 +43,10 @@ def user_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def events_delivered_once(spark: SparkSession, root: str) -> DataFrame:
-    """The events out of a feed that delivers each of them twice."""
+    """The first delivery of each event, out of a feed that delivers all of them twice."""
     events = Tables(spark, root).events
-    return events.unionByName(events).dropDuplicates(["event_id"])
+    feed = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    return top_k(feed, 1, ["event_id"], [F.asc("delivery")]).drop("rank")
 
 
 QUERIES = {
@@ -87,5 +88,15 @@ SQL = {
                count(*) as n_events, {_VALUE}
         from numbered group by user_id, nth
     """,
-    "events_delivered_once": "select * from events",
+    "events_delivered_once": """
+        with feed as (
+            select *, 1 as delivery from events
+            union all
+            select *, 2 as delivery from events),
+        numbered as (
+            select *, row_number() over (partition by event_id order by delivery) as nth from feed)
+        select event_id, ts, user_id, event_type, value, props,
+               cast(delivery as integer) as delivery
+        from numbered where nth = 1
+    """,
 }

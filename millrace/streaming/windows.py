@@ -66,7 +66,7 @@ def deduplicated(stream: DataFrame, ts: str, keys: list[str], delay: timedelta)
     """Drop repeats of ``keys`` that arrive within ``delay`` of the first, in event time.
 
     A key is forgotten once the watermark has passed it, so state holds the keys of the
-    last ``delay`` only. Any distinct repeat later than that passes through again.
+    last ``delay`` only. A repeat whose event time lies further off may pass again.
     """
     return stream.withWatermark(ts, interval(delay)).dropDuplicatesWithinWatermark(keys)
 

@@ -94,6 +94,14 @@ def test_existence_keeps_null_keys_only_where_there_is_no_match(spark):
     assert sorted(r.v for r in unmatched.collect()) == ["b", "c"]
 
 
+@pytest.mark.parametrize("salts", [2, 7])
+def test_salted_existence_gives_the_same_rows(skewed, salts):
+    some = skewed.filter("event_type = 'view' or user_id = 7").select(F.col("user_id").alias("key"))
+    on = {"user_id": "key"}
+    assert rows(with_match(skewed, some, on, salts)) == rows(with_match(skewed, some, on))
+    assert rows(without_match(skewed, some, on, salts)) == rows(without_match(skewed, some, on))
+
+
 def test_existence_on_two_keys(spark):
     left = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "a int, b int")
     right = spark.createDataFrame([(1, 2), (1, 2), (2, 2)], "c int, d int")
