@@ -39,6 +39,7 @@ def replay(
     close_after: timedelta | None = None,
     files_per_batch: int | None = None,
     drop_late: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
     """Run ``build`` over the event files at ``path`` in append mode; return its output.
 
@@ -51,15 +52,16 @@ def replay(
     out of order by more than its delay; as a replay is meant to be whole, that raises
     :class:`LateEvents` unless ``drop_late`` is set.
 
-    Output, checkpoint and closing event lie in a new folder below the shared one. The
-    file sink's log makes a batch that is run again replace what it wrote before.
+    Output, checkpoint and closing event lie in ``folder``, by default a new one below the
+    shared one. A replay whose driver was lost goes on from there when it is started again
+    with the same folder; the file sink's log lets no batch appear twice.
     """
-    folder = run_folder(spark, label)
+    folder = folder or run_folder(spark, label)
     stream = event_stream(spark, path, files_per_batch)
     if close_after is not None:
         closing = f"{folder}/closing"
         events = spark.read.schema(SCHEMAS["events"]).parquet(path)
-        events.limit(0).write.parquet(closing)
+        events.limit(0).write.mode("ignore").parquet(closing)
         stream = stream.unionByName(event_stream(spark, closing))
     result = build(stream)
     late = _drain(result, folder)

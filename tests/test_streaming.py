@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -173,6 +174,31 @@ def test_busy_user_is_merged_before_the_shuffle(spark, feed):
     )  # the stream's own settings are not left behind
 
 
+@pytest.mark.parametrize("lost_in", [1, 2])
+def test_replay_goes_on_after_a_lost_driver(spark, out_of_order, tmp_path, monkeypatch, lost_in):
+    from millrace.streaming import replay as function
+
+    module = sys.modules[function.__module__]
+    drain, calls = module._drain, []
+
+    def losing(result, folder):
+        calls.append(folder)
+        late = drain(result, folder)
+        if len(calls) == lost_in:
+            raise ConnectionError("driver lost")
+        return late
+
+    folder = str(tmp_path / "run")
+    build, whole = FORMS["sliding"]
+    arguments = (spark, out_of_order, build, "resumed", timedelta(hours=3))
+    monkeypatch.setattr(module, "_drain", losing)
+    with pytest.raises(ConnectionError):
+        replay(*arguments, files_per_batch=1, folder=folder)
+    resumed = replay(*arguments, files_per_batch=1, folder=folder)
+    table = spark.read.schema(SCHEMAS["events"]).parquet(out_of_order)
+    assert rows(resumed) == rows(whole(table))
+
+
 def test_table_may_be_a_folder(spark, out_of_order):
     table = spark.read.schema(SCHEMAS["events"]).parquet(out_of_order)
     result = replay(spark, out_of_order + "/", hourly, "folder", timedelta(hours=3))
