@@ -14,9 +14,8 @@ def event_gaps(spark: SparkSession, root: str) -> DataFrame:
     """Each event with the time since the user's event before it."""
     events = Tables(spark, root).events.select("user_id", "event_id", "ts")
     with_previous = running(events, ["user_id"], ["ts", "event_id"], previous={"previous_ts": "ts"})
-    return with_previous.withColumn(
-        "gap_micros", span_micros(F.col("ts") - F.col("previous_ts"))
-    )
+    gap = span_micros(F.col("ts") - F.col("previous_ts"))
+    return with_previous.withColumn("gap_seconds", gap / 1_000_000)
 
 
 def running_value(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +35,7 @@ QUERIES = {"event_gaps": event_gaps, "running_value": running_value}
 SQL = {
     "event_gaps": """
         select user_id, event_id, ts, previous_ts,
-               epoch_us(ts) - epoch_us(previous_ts) as gap_micros
+               cast(epoch_us(ts) - epoch_us(previous_ts) as double) / 1e6 as gap_seconds
         from (select *, lag(ts) over (partition by user_id order by ts, event_id) as previous_ts
               from events)
     """,

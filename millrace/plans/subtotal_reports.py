@@ -26,7 +26,7 @@ def revenue_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 def orders_cube(spark: SparkSession, root: str) -> DataFrame:
     """Order counts and values by status, priority and year, in every combination."""
-    orders = Tables(spark, root).orders.withColumn("o_year", F.year("o_orderdate"))
+    orders = Tables(spark, root).orders.withColumn("o_year", F.year("o_orderdate").cast("string"))
     measures = {
         "n_orders": count_rows(),
         "total": ("sum", hundredths("o_totalprice")),
@@ -41,7 +41,7 @@ def orders_cube(spark: SparkSession, root: str) -> DataFrame:
 
 def line_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
     """Lines by flag and status, by ship year, and overall."""
-    lines = Tables(spark, root).lineitem.withColumn("l_year", F.year("l_shipdate"))
+    lines = Tables(spark, root).lineitem.withColumn("l_year", F.year("l_shipdate").cast("string"))
     measures = {
         "quantity": ("sum", hundredths("l_quantity")),
         "revenue": ("sum", net_price()),
@@ -80,7 +80,7 @@ SQL = {
                count(*) as n_orders,
                cast(sum(cast(o_totalprice as decimal(12,2))) as double) as total,
                min(o_totalprice) as smallest, max(o_totalprice) as largest
-        from (select *, cast(year(o_orderdate) as integer) as o_year from orders)
+        from (select *, cast(year(o_orderdate) as varchar) as o_year from orders)
         group by cube (o_orderstatus, o_orderpriority, o_year)
     """,
     "line_grouping_sets": f"""
@@ -88,7 +88,7 @@ SQL = {
                cast(grouping(l_returnflag, l_linestatus, l_year) as bigint) as level,
                cast(sum(cast(l_quantity as decimal(12,2))) as double) as quantity,
                cast(sum({_NET}) as double) as revenue, count(*) as n_lines
-        from (select *, cast(year(l_shipdate) as integer) as l_year from lineitem)
+        from (select *, cast(year(l_shipdate) as varchar) as l_year from lineitem)
         group by grouping sets ((l_returnflag, l_linestatus), (l_year), ())
     """,
 }

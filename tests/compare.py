@@ -32,4 +32,5 @@ def assert_same(actual: pa.Table, expected: pa.Table) -> None:
     assert _types(actual) == _types(expected)
     assert actual.num_rows == expected.num_rows
     left, right = _rows(actual), _rows(expected)
-    assert left == right, f"only here {(left - right).most_common(3)}, only there {(right - left).most_common(3)}"
+    surplus, missing = (left - right).most_common(3), (right - left).most_common(3)
+    assert left == right, f"surplus {surplus}, missing {missing}"

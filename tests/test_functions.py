@@ -64,7 +64,8 @@ def test_span_micros_of_negative_and_missing_spans(spark):
 
 def test_money_is_exact(spark):
     df = spark.createDataFrame(
-        [(0.1, 0.0), (0.2, 0.07), (104999.91, 0.1), (-3.35, 0.29), (1.15, 0.57)], "p double, d double"
+        [(0.1, 0.0), (0.2, 0.07), (104999.91, 0.1), (-3.35, 0.29), (1.15, 0.57)],
+        "p double, d double",
     )
     row = df.agg(
         F.sum(hundredths("p")).alias("cents"), F.sum(net_price("p", "d")).alias("net")

@@ -39,12 +39,12 @@ def rows(df) -> Counter:
 def skewed(spark):
     """Events of which a third belong to one user, and many of those to one instant."""
     events = Tables(spark, str(TESTDATA / "sf0.001")).events.drop("props")
-    hot = F.col("event_id") % 3 == 0
-    return events.withColumn(
-        "user_id", F.when(hot, F.lit(7)).when(F.col("event_id") % 50 == 1, None).otherwise(F.col("user_id"))
-    ).withColumn(
-        "ts", F.when(hot & (F.col("event_id") > 400), F.lit(START)).otherwise(F.col("ts"))
-    ).withColumn("value", F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")))
+    number = F.col("event_id")
+    hot, nobody = number % 3 == 0, number % 50 == 1
+    user = F.when(hot, F.lit(7)).when(nobody, None).otherwise(F.col("user_id"))
+    ts = F.when(hot & (number > 400), F.lit(START)).otherwise(F.col("ts"))
+    value = F.when(number % 7 == 0, None).otherwise(F.col("value"))
+    return events.withColumns({"user_id": user, "ts": ts, "value": value})
 
 
 @pytest.mark.parametrize("piece_rows", [10, 64, 999])

