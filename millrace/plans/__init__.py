@@ -1,7 +1,16 @@
-"""Registered queries and, under the same names, their SQL for an independent engine."""
+"""Registered queries and, under the same names, their SQL for an independent engine.
+
+``REPORTS`` take the tables, wherever they are kept; ``QUERIES`` take a session and the
+folder of their files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import Tables
 from . import event_windows, joins, ordering, props, rankings, sets, streams, subtotal_reports
 
 _MODULES = (
@@ -15,5 +24,12 @@ _MODULES = (
     streams,
 )
 
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+REPORTS = {name: report for module in _MODULES for name, report in module.REPORTS.items()}
+
+
+def _on_files(report: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, root: report(Tables(spark, root))
+
+
+QUERIES = {name: _on_files(report) for name, report in REPORTS.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}

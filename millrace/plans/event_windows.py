@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amount, hundredths
@@ -24,32 +24,32 @@ def as_double(df: DataFrame) -> DataFrame:
     return df.withColumn("value", amount("value"))
 
 
-def hourly_events(spark: SparkSession, root: str) -> DataFrame:
+def hourly_events(tables: Tables) -> DataFrame:
     """Events and value per hour and type."""
-    events = Tables(spark, root).events
+    events = tables.events
     return as_double(tumbling(events, "ts", HOUR, ["event_type"], event_measures()))
 
 
-def hourly_events_every_quarter(spark: SparkSession, root: str) -> DataFrame:
+def hourly_events_every_quarter(tables: Tables) -> DataFrame:
     """Events and value per type in hours that start every 15 minutes."""
-    events = Tables(spark, root).events
+    events = tables.events
     return as_double(sliding(events, "ts", HOUR, QUARTER, ["event_type"], event_measures()))
 
 
-def user_sessions(spark: SparkSession, root: str) -> DataFrame:
+def user_sessions(tables: Tables) -> DataFrame:
     """Sessions per user, closed by half an hour without an event."""
-    events = Tables(spark, root).events
+    events = tables.events
     return as_double(sessions(events, "ts", GAP, ["user_id"], event_measures()))
 
 
-def events_delivered_once(spark: SparkSession, root: str) -> DataFrame:
+def events_delivered_once(tables: Tables) -> DataFrame:
     """The first delivery of each event, out of a feed that delivers all of them twice."""
-    events = Tables(spark, root).events
+    events = tables.events
     feed = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
     return top_k(feed, 1, ["event_id"], [F.asc("delivery")]).drop("rank")
 
 
-QUERIES = {
+REPORTS = {
     "hourly_events": hourly_events,
     "hourly_events_every_quarter": hourly_events_every_quarter,
     "user_sessions": user_sessions,

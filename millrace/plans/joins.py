@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import TEN_THOUSANDTHS, amount, net_price
@@ -45,18 +45,16 @@ def revenue_by_nation(tables: Tables, orders: DataFrame) -> DataFrame:
     )
 
 
-def nation_revenue(spark: SparkSession, root: str) -> DataFrame:
+def nation_revenue(tables: Tables) -> DataFrame:
     """Revenue and line count of 1997 per nation of the customer."""
-    tables = Tables(spark, root)
     by_nation = revenue_by_nation(tables, tables.orders.filter(in_year("o_orderdate", 1997)))
     return by_nation.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "n_name", amount("revenue", TEN_THOUSANDTHS), "n_lines"
     )
 
 
-def local_supplier_revenue(spark: SparkSession, root: str) -> DataFrame:
+def local_supplier_revenue(tables: Tables) -> DataFrame:
     """Revenue of 1997 per nation from lines whose customer and supplier share it."""
-    tables = Tables(spark, root)
     # Orders meet customers before lines do, so that lines are shuffled once, by order.
     # One row per nation and supplier is left before suppliers are joined.
     orders = (
@@ -81,9 +79,8 @@ def local_supplier_revenue(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def brand_revenue(spark: SparkSession, root: str) -> DataFrame:
+def brand_revenue(tables: Tables) -> DataFrame:
     """Revenue, lines and parts sold per brand."""
-    tables = Tables(spark, root)
     by_part = tables.lineitem.groupBy("l_partkey").agg(
         F.sum(net_price()).alias("revenue"), F.count(F.lit(1)).alias("n_lines")
     )
@@ -99,26 +96,23 @@ def brand_revenue(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def orders_without_lines(spark: SparkSession, root: str) -> DataFrame:
-    tables = Tables(spark, root)
+def orders_without_lines(tables: Tables) -> DataFrame:
     orders = tables.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     return without_match(orders, tables.lineitem, {"o_orderkey": "l_orderkey"})
 
 
-def customers_with_orders(spark: SparkSession, root: str) -> DataFrame:
-    tables = Tables(spark, root)
+def customers_with_orders(tables: Tables) -> DataFrame:
     customers = tables.customer.select("c_custkey", "c_name", "c_mktsegment")
     return with_match(customers, tables.orders, {"c_custkey": "o_custkey"})
 
 
-def customers_idle_in_1997(spark: SparkSession, root: str) -> DataFrame:
-    tables = Tables(spark, root)
+def customers_idle_in_1997(tables: Tables) -> DataFrame:
     customers = tables.customer.select("c_custkey", "c_name", "c_mktsegment")
     orders = tables.orders.filter(in_year("o_orderdate", 1997))
     return without_match(customers, orders, {"c_custkey": "o_custkey"})
 
 
-QUERIES = {
+REPORTS = {
     "nation_revenue": nation_revenue,
     "local_supplier_revenue": local_supplier_revenue,
     "brand_revenue": brand_revenue,

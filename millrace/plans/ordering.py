@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amount, hundredths, span_micros
@@ -10,17 +10,17 @@ from ..operators import running
 from ..sources import Tables
 
 
-def event_gaps(spark: SparkSession, root: str) -> DataFrame:
+def event_gaps(tables: Tables) -> DataFrame:
     """Each event with the time since the user's event before it."""
-    events = Tables(spark, root).events.select("user_id", "event_id", "ts")
+    events = tables.events.select("user_id", "event_id", "ts")
     with_previous = running(events, ["user_id"], ["ts", "event_id"], previous={"previous_ts": "ts"})
     gap = span_micros(F.col("ts") - F.col("previous_ts"))
     return with_previous.withColumn("gap_seconds", gap / 1_000_000)
 
 
-def running_value(spark: SparkSession, root: str) -> DataFrame:
+def running_value(tables: Tables) -> DataFrame:
     """Each event with the user's event count and total value so far."""
-    events = Tables(spark, root).events.select("user_id", "event_id", "ts", "value")
+    events = tables.events.select("user_id", "event_id", "ts", "value")
     totals = {
         "events_so_far": F.lit(1).cast("bigint"),
         "value_so_far": hundredths("value"),
@@ -30,7 +30,7 @@ def running_value(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"event_gaps": event_gaps, "running_value": running_value}
+REPORTS = {"event_gaps": event_gaps, "running_value": running_value}
 
 SQL = {
     "event_gaps": """

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amount, hundredths, json_long
 from ..sources import Tables
 
 
-def props_by_type(spark: SparkSession, root: str) -> DataFrame:
+def props_by_type(tables: Tables) -> DataFrame:
     """Count, sum and range of property ``k`` per event type."""
-    events = Tables(spark, root).events.select("event_type", json_long("props", "k").alias("k"))
+    events = tables.events.select("event_type", json_long("props", "k").alias("k"))
     return events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count("k").alias("n_with_k"),
@@ -21,9 +21,9 @@ def props_by_type(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def value_by_prop(spark: SparkSession, root: str) -> DataFrame:
+def value_by_prop(tables: Tables) -> DataFrame:
     """Events, purchases and total value per property ``k``."""
-    events = Tables(spark, root).events.select(
+    events = tables.events.select(
         json_long("props", "k").alias("k"), "event_type", "value"
     )
     return events.groupBy("k").agg(
@@ -33,7 +33,7 @@ def value_by_prop(spark: SparkSession, root: str) -> DataFrame:
     ).withColumn("value", amount("value"))
 
 
-QUERIES = {"props_by_type": props_by_type, "value_by_prop": value_by_prop}
+REPORTS = {"props_by_type": props_by_type, "value_by_prop": value_by_prop}
 
 _K = "try_cast(json_extract_string(props, '$.k') as bigint)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
@@ -10,15 +10,14 @@ from ..operators import top_k
 from ..sources import Tables
 
 
-def top_orders_per_customer(spark: SparkSession, root: str) -> DataFrame:
+def top_orders_per_customer(tables: Tables) -> DataFrame:
     """The three largest orders of each customer."""
-    orders = Tables(spark, root).orders.select("o_custkey", "o_orderkey", "o_totalprice")
+    orders = tables.orders.select("o_custkey", "o_orderkey", "o_totalprice")
     return top_k(orders, 3, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")])
 
 
-def top_customers_per_nation(spark: SparkSession, root: str) -> DataFrame:
+def top_customers_per_nation(tables: Tables) -> DataFrame:
     """The five customers of each nation with the highest order value."""
-    tables = Tables(spark, root)
     spent = tables.orders.groupBy("o_custkey").agg(F.sum(hundredths("o_totalprice")).alias("spent"))
     customers = spent.join(tables.customer, F.col("o_custkey") == F.col("c_custkey"))
     best = top_k(
@@ -32,9 +31,8 @@ def top_customers_per_nation(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def top_parts_per_brand(spark: SparkSession, root: str) -> DataFrame:
+def top_parts_per_brand(tables: Tables) -> DataFrame:
     """The three parts of each brand with the highest revenue."""
-    tables = Tables(spark, root)
     sold = tables.lineitem.groupBy("l_partkey").agg(F.sum(net_price()).alias("revenue"))
     parts = sold.join(tables.part, F.col("l_partkey") == F.col("p_partkey"))
     best = top_k(
@@ -46,14 +44,14 @@ def top_parts_per_brand(spark: SparkSession, root: str) -> DataFrame:
     return best.withColumn("revenue", amount("revenue", TEN_THOUSANDTHS))
 
 
-def first_event_per_user_and_type(spark: SparkSession, root: str) -> DataFrame:
+def first_event_per_user_and_type(tables: Tables) -> DataFrame:
     """The earliest event of each type of each user."""
-    events = Tables(spark, root).events.select("user_id", "event_type", "ts", "event_id", "value")
+    events = tables.events.select("user_id", "event_type", "ts", "event_id", "value")
     order = [F.asc("ts"), F.asc("event_id")]
     return top_k(events, 1, ["user_id", "event_type"], order).drop("rank")
 
 
-QUERIES = {
+REPORTS = {
     "top_orders_per_customer": top_orders_per_customer,
     "top_customers_per_nation": top_customers_per_nation,
     "top_parts_per_brand": top_parts_per_brand,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import (
@@ -16,45 +16,44 @@ from ..sources import Tables
 from .joins import in_year
 
 
-def _nations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    tables = Tables(spark, root)
+def _nations(tables: Tables) -> tuple[DataFrame, DataFrame]:
     return (
         tables.customer.select(F.col("c_nationkey").alias("nationkey")),
         tables.supplier.select(F.col("s_nationkey").alias("nationkey")),
     )
 
 
-def _buyers(spark: SparkSession, root: str, year: int) -> DataFrame:
-    orders = Tables(spark, root).orders.filter(in_year("o_orderdate", year))
+def _buyers(tables: Tables, year: int) -> DataFrame:
+    orders = tables.orders.filter(in_year("o_orderdate", year))
     return orders.select(F.col("o_custkey").alias("custkey"))
 
 
-def nations_of_either(spark: SparkSession, root: str) -> DataFrame:
+def nations_of_either(tables: Tables) -> DataFrame:
     """Nations with a customer or a supplier."""
-    return union_distinct(*_nations(spark, root))
+    return union_distinct(*_nations(tables))
 
 
-def buyers_in_both_years(spark: SparkSession, root: str) -> DataFrame:
+def buyers_in_both_years(tables: Tables) -> DataFrame:
     """Customers who ordered in 1996 and in 1997."""
-    return intersect_distinct(_buyers(spark, root, 1996), _buyers(spark, root, 1997))
+    return intersect_distinct(_buyers(tables, 1996), _buyers(tables, 1997))
 
 
-def buyers_lost_after_1996(spark: SparkSession, root: str) -> DataFrame:
+def buyers_lost_after_1996(tables: Tables) -> DataFrame:
     """Customers who ordered in 1996 and not in 1997."""
-    return except_distinct(_buyers(spark, root, 1996), _buyers(spark, root, 1997))
+    return except_distinct(_buyers(tables, 1996), _buyers(tables, 1997))
 
 
-def nations_matched(spark: SparkSession, root: str) -> DataFrame:
+def nations_matched(tables: Tables) -> DataFrame:
     """Nation keys of customers, each at most as often as among suppliers."""
-    return intersect_all(*_nations(spark, root))
+    return intersect_all(*_nations(tables))
 
 
-def nations_unmatched(spark: SparkSession, root: str) -> DataFrame:
+def nations_unmatched(tables: Tables) -> DataFrame:
     """Nation keys of customers, each less often by its suppliers."""
-    return except_all(*_nations(spark, root))
+    return except_all(*_nations(tables))
 
 
-QUERIES = {
+REPORTS = {
     "nations_of_either": nations_of_either,
     "buyers_in_both_years": buyers_in_both_years,
     "buyers_lost_after_1996": buyers_lost_after_1996,

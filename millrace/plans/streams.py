@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import from_instant
@@ -21,43 +21,39 @@ DELAY = timedelta(hours=1)
 CLOSE_AFTER = timedelta(hours=3)
 
 
-def _path(spark: SparkSession, root: str) -> str:
-    return Tables(spark, root).path("events")
-
-
-def hourly_events_stream(spark: SparkSession, root: str) -> DataFrame:
+def hourly_events_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         return tumbling_windows(stream, "ts", HOUR, ["event_type"], event_measures(), DELAY)
 
-    return as_double(replay(spark, _path(spark, root), build, "hourly", CLOSE_AFTER))
+    return as_double(replay(tables.spark, tables.path("events"), build, "hourly", CLOSE_AFTER))
 
 
-def hourly_events_every_quarter_stream(spark: SparkSession, root: str) -> DataFrame:
+def hourly_events_every_quarter_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         return sliding_windows(
             stream, "ts", HOUR, QUARTER, ["event_type"], event_measures(), DELAY
         )
 
-    return as_double(replay(spark, _path(spark, root), build, "sliding", CLOSE_AFTER))
+    return as_double(replay(tables.spark, tables.path("events"), build, "sliding", CLOSE_AFTER))
 
 
-def user_sessions_stream(spark: SparkSession, root: str) -> DataFrame:
+def user_sessions_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         return session_windows(stream, "ts", GAP, ["user_id"], event_measures(), DELAY)
 
-    return as_double(replay(spark, _path(spark, root), build, "sessions", CLOSE_AFTER))
+    return as_double(replay(tables.spark, tables.path("events"), build, "sessions", CLOSE_AFTER))
 
 
-def events_delivered_once_stream(spark: SparkSession, root: str) -> DataFrame:
+def events_delivered_once_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         twice = stream.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
         once = deduplicated(twice, "ts", ["event_id"], DELAY)
         return once.drop("delivery").withColumn("ts", from_instant("ts"))
 
-    return replay(spark, _path(spark, root), build, "deduplicated")
+    return replay(tables.spark, tables.path("events"), build, "deduplicated")
 
 
-QUERIES = {
+REPORTS = {
     "hourly_events_stream": hourly_events_stream,
     "hourly_events_every_quarter_stream": hourly_events_every_quarter_stream,
     "user_sessions_stream": user_sessions_stream,

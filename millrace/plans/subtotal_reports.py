@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
@@ -11,9 +11,8 @@ from ..sources import Tables
 from .joins import revenue_by_nation
 
 
-def revenue_rollup(spark: SparkSession, root: str) -> DataFrame:
+def revenue_rollup(tables: Tables) -> DataFrame:
     """Revenue per nation and region of the customer, and overall."""
-    tables = Tables(spark, root)
     by_nation = revenue_by_nation(tables, tables.orders)
     named = by_nation.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         tables.region, F.col("n_regionkey") == F.col("r_regionkey")
@@ -24,9 +23,9 @@ def revenue_rollup(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def orders_cube(spark: SparkSession, root: str) -> DataFrame:
+def orders_cube(tables: Tables) -> DataFrame:
     """Order counts and values by status, priority and year, in every combination."""
-    orders = Tables(spark, root).orders.withColumn("o_year", F.year("o_orderdate").cast("string"))
+    orders = tables.orders.withColumn("o_year", F.year("o_orderdate"))
     measures = {
         "n_orders": count_rows(),
         "total": ("sum", hundredths("o_totalprice")),
@@ -34,14 +33,14 @@ def orders_cube(spark: SparkSession, root: str) -> DataFrame:
         "largest": ("max", F.col("o_totalprice")),
     }
     keys = ["o_orderstatus", "o_orderpriority", "o_year"]
-    return subtotals(orders, keys, measures, "cube").withColumn(
-        "total", amount("total")
+    return subtotals(orders, keys, measures, "cube").withColumns(
+        {"total": amount("total"), "o_year": F.col("o_year").cast("string")}
     )
 
 
-def line_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
+def line_grouping_sets(tables: Tables) -> DataFrame:
     """Lines by flag and status, by ship year, and overall."""
-    lines = Tables(spark, root).lineitem.withColumn("l_year", F.year("l_shipdate").cast("string"))
+    lines = tables.lineitem.withColumn("l_year", F.year("l_shipdate"))
     measures = {
         "quantity": ("sum", hundredths("l_quantity")),
         "revenue": ("sum", net_price()),
@@ -49,13 +48,16 @@ def line_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
     }
     keys = ["l_returnflag", "l_linestatus", "l_year"]
     sets = [["l_returnflag", "l_linestatus"], ["l_year"], []]
-    report = subtotals(lines, keys, measures, sets)
-    return report.withColumn("quantity", amount("quantity")).withColumn(
-        "revenue", amount("revenue", TEN_THOUSANDTHS)
+    return subtotals(lines, keys, measures, sets).withColumns(
+        {
+            "quantity": amount("quantity"),
+            "revenue": amount("revenue", TEN_THOUSANDTHS),
+            "l_year": F.col("l_year").cast("string"),
+        }
     )
 
 
-QUERIES = {
+REPORTS = {
     "revenue_rollup": revenue_rollup,
     "orders_cube": orders_cube,
     "line_grouping_sets": line_grouping_sets,

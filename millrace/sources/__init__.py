@@ -1,5 +1,6 @@
 """Tables that the jobs read."""
 
-from .tables import SCHEMAS, Tables
+from .layout import SkewedKey, save_bucketed
+from .tables import SCHEMAS, CatalogTables, Tables
 
-__all__ = ["SCHEMAS", "Tables"]
+__all__ = ["SCHEMAS", "CatalogTables", "SkewedKey", "Tables", "save_bucketed"]

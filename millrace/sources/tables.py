@@ -47,3 +47,16 @@ class Tables:
         if name not in SCHEMAS:
             raise AttributeError(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+
+
+class CatalogTables:
+    """The same tables from a database of the session catalog, for instance bucketed ones."""
+
+    def __init__(self, spark: SparkSession, database: str) -> None:
+        self.spark = spark
+        self.database = database
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        return self.spark.table(f"{self.database}.{name}")
