@@ -48,9 +48,10 @@ def replay(
     one, which moves the watermark past them. It has to exceed the delay plus the
     longest window or gap; the closing event's own window then stays open and unwritten.
 
-    Files are taken oldest first, by default 1000 to a batch. A watermark drops what comes
-    out of order by more than its delay; as a replay is meant to be whole, that raises
-    :class:`LateEvents` unless ``drop_late`` is set.
+    All files form one batch, so their order does not matter. Where they were written in
+    the order of event time, to within the delay, ``files_per_batch`` takes them oldest
+    first and keeps the state small. Were that wrong, the watermark would drop events; as a
+    replay is meant to be whole, that raises :class:`LateEvents` unless ``drop_late`` is set.
 
     Output, checkpoint and closing event lie in ``folder``, by default a new one below the
     shared one. A replay whose driver was lost goes on from there when it is started again

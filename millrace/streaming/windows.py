@@ -2,7 +2,8 @@
 
 All take a stream whose ``ts`` column is a ``timestamp`` and the delay after which
 an event is too late. In append mode a window is emitted once the watermark has
-passed its end, and its state is dropped. Results carry ``timestamp_ntz`` bounds, like
+passed its end, and its state is dropped. A watermark starts at 1970, so earlier events
+are late from the first batch on. Results carry ``timestamp_ntz`` bounds, like
 the batch forms in ``operators.windows``.
 """
 
