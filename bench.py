@@ -28,7 +28,10 @@ def main() -> None:
         "bench",
         master=f"local[{cpus}]",
         shuffle_partitions=int(cpus),
-        settings={"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")},
+        settings={
+            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            "spark.ui.enabled": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
 

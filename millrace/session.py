@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
-# Used only where neither the cluster's own defaults nor the caller set a value.
+# Set only where neither the cluster's own defaults nor the caller has a value.
 DEFAULTS = {
     # Event times are wall-clock values without a zone; UTC keeps casts from moving them.
     "spark.sql.session.timeZone": "UTC",
@@ -15,7 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
-    "spark.ui.enabled": "false",
 }
 
 
@@ -25,21 +23,24 @@ def session(
     shuffle_partitions: int | None = None,
     settings: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Return a session; pass ``master`` only for local runs.
+    """Return the active session as it is, or a new one; pass ``master`` only for local runs.
 
     ``shuffle_partitions`` is the upper bound that adaptive execution coalesces
     from, so size it for the largest shuffle: bytes shuffled / 128 MB.
     """
-    wanted = dict(settings or {})
-    if shuffle_partitions is not None:
-        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(name)
     if master is not None:
         builder = builder.master(master)
-    given = SparkConf()
-    for key, value in DEFAULTS.items():
-        if key not in wanted and not given.contains(key):
-            builder = builder.config(key, value)
-    for key, value in wanted.items():
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (settings or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark

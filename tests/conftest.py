@@ -10,11 +10,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from millrace.session import session  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
+NO_UI = {"spark.ui.enabled": "false"}
 
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session("tests", master="local[8]", shuffle_partitions=8)
+    spark = session("tests", master="local[8]", shuffle_partitions=8, settings=NO_UI)
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()

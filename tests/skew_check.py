@@ -66,7 +66,10 @@ def main() -> None:
     copies = int(sys.argv[2]) if len(sys.argv) > 2 else 20
     only = sys.argv[3].split(",") if len(sys.argv) > 3 else [*QUERIES, "running_in_pieces"]
     spark = session(
-        "skew", master="local[8]", shuffle_partitions=64, settings={"spark.driver.memory": "10g"}
+        "skew",
+        master="local[8]",
+        shuffle_partitions=64,
+        settings={"spark.driver.memory": "10g", "spark.ui.enabled": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     if not folder.exists():
