@@ -3,7 +3,7 @@
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose tables and
 cores; BENCH_RUNS (default 3) is the number of runs of which the fastest counts. Batch
 results go to Spark's ``noop`` sink, so that all rows and columns are computed and none
-are collected. A stream's time includes starting it twice.
+are collected. A stream's time includes its sink.
 """
 
 from __future__ import annotations

@@ -44,9 +44,9 @@ def replay(
     """Run ``build`` over the event files at ``path`` in append mode; return its output.
 
     In append mode the windows that the watermark has not passed stay unwritten. With
-    ``close_after`` the stream is resumed with one more event, that long after the last
-    one, which moves the watermark past them. It has to exceed the delay plus the
-    longest window or gap; the closing event's own window then stays open and unwritten.
+    ``close_after`` one more event follows, that long after the last one, which moves the
+    watermark past them. It has to exceed the delay plus the longest window or gap; the
+    closing event's own window then stays open and unwritten.
 
     All files form one batch, so their order does not matter. Where they were written in
     the order of event time, to within the delay, ``files_per_batch`` takes them oldest
@@ -65,8 +65,12 @@ def replay(
         events.limit(0).write.mode("ignore").parquet(closing)
         stream = stream.unionByName(event_stream(spark, closing))
     result = build(stream)
-    late = _drain(result, folder)
+    late = 0
+    if close_after is None or files_per_batch is not None:
+        late += _drain(result, folder)
     if close_after is not None:
+        # Within one batch nothing is late, so the event may come with the files; after
+        # several batches the stream is resumed with it.
         later = F.max("ts") + F.lit(close_after)
         last = events.agg(later.alias("ts"))
         others = [

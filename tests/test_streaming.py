@@ -87,10 +87,13 @@ FORMS = {
 }
 
 
+@pytest.mark.parametrize("files_per_batch", [None, 1, 2])
 @pytest.mark.parametrize("form", FORMS)
-def test_batches_of_one_file_give_the_batch_result(spark, out_of_order, form):
+def test_stream_gives_the_batch_result(spark, out_of_order, form, files_per_batch):
     build, whole = FORMS[form]
-    streamed = replay(spark, out_of_order, build, form, timedelta(hours=3), files_per_batch=1)
+    streamed = replay(
+        spark, out_of_order, build, form, timedelta(hours=3), files_per_batch=files_per_batch
+    )
     table = spark.read.schema(SCHEMAS["events"]).parquet(out_of_order)
     assert table.count() == 42
     assert rows(streamed) == rows(whole(table))
@@ -174,8 +177,10 @@ def test_busy_user_is_merged_before_the_shuffle(spark, feed):
     )  # the stream's own settings are not left behind
 
 
-@pytest.mark.parametrize("lost_in", [1, 2])
-def test_replay_goes_on_after_a_lost_driver(spark, out_of_order, tmp_path, monkeypatch, lost_in):
+@pytest.mark.parametrize("files_per_batch, lost_in", [(None, 1), (1, 1), (1, 2)])
+def test_replay_goes_on_after_a_lost_driver(
+    spark, out_of_order, tmp_path, monkeypatch, files_per_batch, lost_in
+):
     from millrace.streaming import replay as function
 
     module = sys.modules[function.__module__]
@@ -193,8 +198,8 @@ def test_replay_goes_on_after_a_lost_driver(spark, out_of_order, tmp_path, monke
     arguments = (spark, out_of_order, build, "resumed", timedelta(hours=3))
     monkeypatch.setattr(module, "_drain", losing)
     with pytest.raises(ConnectionError):
-        replay(*arguments, files_per_batch=1, folder=folder)
-    resumed = replay(*arguments, files_per_batch=1, folder=folder)
+        replay(*arguments, files_per_batch=files_per_batch, folder=folder)
+    resumed = replay(*arguments, files_per_batch=files_per_batch, folder=folder)
     table = spark.read.schema(SCHEMAS["events"]).parquet(out_of_order)
     assert rows(resumed) == rows(whole(table))
 
