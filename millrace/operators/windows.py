@@ -1,4 +1,7 @@
-"""Event-time windows over whole tables. The streaming forms are in ``streaming``."""
+"""Event-time windows over whole tables. The streaming forms are in ``streaming``.
+
+Rows without an event time belong to no window.
+"""
 
 from __future__ import annotations
 

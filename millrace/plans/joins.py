@@ -6,20 +6,19 @@ No join carries a broadcast hint: Spark broadcasts a side only while its size is
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import TEN_THOUSANDTHS, amount, net_price
 from ..operators import with_match, without_match
 from ..sources import Tables
+from . import sql
 
 
 def in_year(column: str, year: int) -> Column:
     """A range on the raw column, which reaches the parquet scan; ``year(column)`` doesn't."""
-    first = F.lit(datetime(year, 1, 1)).cast("timestamp_ntz")
-    after = F.lit(datetime(year + 1, 1, 1)).cast("timestamp_ntz")
+    # A Python datetime would pass through the zones of both Python and the session.
+    first, after = (F.expr(f"timestamp_ntz'{y}-01-01 00:00:00'") for y in (year, year + 1))
     return (F.col(column) >= first) & (F.col(column) < after)
 
 
@@ -121,12 +120,11 @@ REPORTS = {
     "customers_idle_in_1997": customers_idle_in_1997,
 }
 
-_NET = "cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
-_IN_1997 = "o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01'"
+_IN_1997 = sql.in_year("o_orderdate", 1997)
 
 SQL = {
     "nation_revenue": f"""
-        select n_name, cast(sum({_NET}) as double) as revenue, count(*) as n_lines
+        select n_name, cast(sum({sql.NET}) as double) as revenue, count(*) as n_lines
         from lineitem
         join orders on l_orderkey = o_orderkey
         join customer on o_custkey = c_custkey
@@ -135,7 +133,7 @@ SQL = {
         group by n_nationkey, n_name
     """,
     "local_supplier_revenue": f"""
-        select n_name, cast(sum({_NET}) as double) as revenue
+        select n_name, cast(sum({sql.NET}) as double) as revenue
         from lineitem
         join orders on l_orderkey = o_orderkey
         join customer on o_custkey = c_custkey
@@ -145,7 +143,7 @@ SQL = {
         group by n_nationkey, n_name
     """,
     "brand_revenue": f"""
-        select p_brand, cast(sum({_NET}) as double) as revenue, count(*) as n_lines,
+        select p_brand, cast(sum({sql.NET}) as double) as revenue, count(*) as n_lines,
                count(distinct p_partkey) as n_parts
         from lineitem join part on l_partkey = p_partkey
         group by p_brand

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
 from ..operators import top_k
 from ..sources import Tables
+from . import sql
 
 
 def top_orders_per_customer(tables: Tables) -> DataFrame:
@@ -58,8 +59,6 @@ REPORTS = {
     "first_event_per_user_and_type": first_event_per_user_and_type,
 }
 
-_NET = "cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
-
 SQL = {
     "top_orders_per_customer": """
         select o_custkey, o_orderkey, o_totalprice, cast(place as integer) as rank
@@ -83,7 +82,7 @@ SQL = {
     """,
     "top_parts_per_brand": f"""
         with sold as (
-            select p_brand, p_partkey, p_name, sum({_NET}) as revenue
+            select p_brand, p_partkey, p_name, sum({sql.NET}) as revenue
             from lineitem join part on l_partkey = p_partkey
             group by p_brand, p_partkey, p_name),
         ranked as (

@@ -13,6 +13,7 @@ from ..operators import (
     union_distinct,
 )
 from ..sources import Tables
+from . import sql
 from .joins import in_year
 
 
@@ -63,10 +64,7 @@ REPORTS = {
 
 
 def _year(year: int) -> str:
-    return f"""
-        select o_custkey as custkey from orders
-        where o_orderdate >= timestamp '{year}-01-01' and o_orderdate < timestamp '{year + 1}-01-01'
-    """
+    return f"select o_custkey as custkey from orders where {sql.in_year('o_orderdate', year)}"
 
 
 _CUSTOMERS = "select c_nationkey as nationkey from customer"

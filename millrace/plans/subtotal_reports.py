@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import TEN_THOUSANDTHS, amount, hundredths, net_price
 from ..operators import count_rows, subtotals
 from ..sources import Tables
+from . import sql
 from .joins import revenue_by_nation
 
 
@@ -63,12 +64,10 @@ REPORTS = {
     "line_grouping_sets": line_grouping_sets,
 }
 
-_NET = "cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
-
 SQL = {
     "revenue_rollup": f"""
         select r_name, n_name, cast(grouping(r_name, n_name) as bigint) as level,
-               cast(sum({_NET}) as double) as revenue, count(*) as n_lines
+               cast(sum({sql.NET}) as double) as revenue, count(*) as n_lines
         from lineitem
         join orders on l_orderkey = o_orderkey
         join customer on o_custkey = c_custkey
@@ -89,7 +88,7 @@ SQL = {
         select l_returnflag, l_linestatus, l_year,
                cast(grouping(l_returnflag, l_linestatus, l_year) as bigint) as level,
                cast(sum(cast(l_quantity as decimal(12,2))) as double) as quantity,
-               cast(sum({_NET}) as double) as revenue, count(*) as n_lines
+               cast(sum({sql.NET}) as double) as revenue, count(*) as n_lines
         from (select *, cast(year(l_shipdate) as varchar) as l_year from lineitem)
         group by grouping sets ((l_returnflag, l_linestatus), (l_year), ())
     """,

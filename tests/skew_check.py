@@ -39,14 +39,13 @@ def enlarge(spark: SparkSession, folder: Path, copies: int) -> None:
         third = F.pmod(F.xxhash64(*by), F.lit(3)) == 0
         return F.when(third, F.lit(value).cast("bigint")).otherwise(F.col(column))
 
-    lines = tables.lineitem.withColumn("l_orderkey", F.col("l_orderkey"))
-    step = tables.orders.agg(F.max("o_orderkey")).first()[0] + 1
-    lines = lines.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn(
-        "l_orderkey", F.col("l_orderkey") + F.col("copy") * step
-    )
+    lines = copied(tables.lineitem, "l_orderkey")
     made = {
-        "lineitem": lines.withColumn("l_orderkey", hot("l_orderkey", 5, *lines.columns)).withColumn(
-            "l_partkey", hot("l_partkey", 3, "l_partkey", *lines.columns, "l_tax")
+        "lineitem": lines.withColumns(
+            {
+                "l_orderkey": hot("l_orderkey", 5, *lines.columns),
+                "l_partkey": hot("l_partkey", 3, "l_tax", *lines.columns),
+            }
         ),
         "orders": copied(tables.orders, "o_orderkey").withColumn(
             "o_custkey", hot("o_custkey", 7, "o_orderkey")

@@ -61,6 +61,24 @@ print(written(spark.range(5), "five").count())
     assert run(code, tmp_path) == ["True", "5"]
 
 
+def test_zones_of_python_and_session_do_not_move_a_date_filter(tmp_path):
+    (tmp_path / "spark-defaults.conf").write_text("spark.ui.enabled false\n")
+    code = """
+import os, time
+os.environ["TZ"] = "Pacific/Auckland"
+time.tzset()
+from datetime import datetime
+from millrace.session import session
+from millrace.plans.joins import in_year
+spark = session("t", "local[1]", 1, {"spark.sql.session.timeZone": "America/New_York"})
+days = ["1996-12-31 23:59:59", "1997-01-01 00:00:00"]
+days += ["1997-12-31 23:59:59", "1998-01-01 00:00:00"]
+df = spark.createDataFrame([(d,) for d in days], "d string").selectExpr("cast(d as timestamp_ntz) as ts")
+print(*[int(r[0]) for r in df.select(in_year("ts", 1997)).collect()])
+"""
+    assert run(code, tmp_path) == ["0", "1", "1", "0"]
+
+
 class _Cluster:
     """Stands in for a cluster session; a real one can't be started in a test."""
 
