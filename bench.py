@@ -20,6 +20,14 @@ from millrace.plans import QUERIES  # noqa: E402
 from millrace.session import session  # noqa: E402
 
 
+def _scale(root: str) -> float | str:
+    name = Path(root).name
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -49,7 +57,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": Path(root).name.removeprefix("sf"),
+        "sf": _scale(root),
         "cpus": int(cpus),
         "runs": runs,
     }

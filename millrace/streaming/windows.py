@@ -9,6 +9,7 @@ the batch forms in ``operators.windows``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -68,8 +69,27 @@ def deduplicated(stream: DataFrame, ts: str, keys: list[str], delay: timedelta)
 
     A key is forgotten once the watermark has passed it, so state holds the keys of the
     last ``delay`` only. A repeat whose event time lies further off may pass again.
+
+    All copies of a key meet in one task. Spark's operator sends it every copy; here each
+    map task first drops the repeats within an Arrow batch, so that a key with very many
+    copies brings one row per batch.
     """
-    return stream.withWatermark(ts, interval(delay)).dropDuplicatesWithinWatermark(keys)
+    thinned = stream.mapInArrow(_first_per_batch(keys), stream.schema)
+    return thinned.withWatermark(ts, interval(delay)).dropDuplicatesWithinWatermark(keys)
+
+
+def _first_per_batch(keys: list[str]) -> Callable[[Iterator], Iterator]:
+    def thin(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).select(keys)
+            rows = rows.append_column("_row", pa.array(np.arange(batch.num_rows)))
+            first = rows.group_by(keys).aggregate([("_row", "min")])["_row_min"]
+            yield batch if len(first) == batch.num_rows else batch.take(first.combine_chunks())
+
+    return thin
 
 
 def _windowed(

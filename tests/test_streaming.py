@@ -7,6 +7,7 @@ import sys
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from millrace.streaming import (
     sliding_windows,
     tumbling_windows,
 )
+from millrace.streaming.windows import _first_per_batch
 
 START = datetime(2024, 1, 1)
 HOUR, QUARTER, GAP = timedelta(hours=1), timedelta(minutes=15), timedelta(minutes=30)
@@ -167,6 +169,27 @@ def test_repeats_are_dropped_across_batches_within_the_delay(spark, feed):
     assert sorted(r.event_id for r in result.collect()) == [1, 2, 3, 4]
 
 
+def test_key_with_very_many_copies_is_thinned_before_the_shuffle(spark, feed):
+    path = feed([event(7 if i % 3 == 0 else i, i / 100) for i in range(6000)])
+
+    def once(stream):
+        return deduplicated(stream, "ts", ["event_id"], HOUR).withColumn("ts", from_instant("ts"))
+
+    result = replay(spark, path, once, "copies")
+    assert result.count() == result.select("event_id").distinct().count() == 4000
+    arrow = spark.read.schema(SCHEMAS["events"]).parquet(path).toArrow().to_batches()
+    thinned = list(_first_per_batch(["event_id"])(iter(arrow)))
+    assert sum(b.num_rows for b in thinned) <= 4000 + len(arrow)
+
+
+def test_thinning_keeps_the_first_row_of_each_key_and_nulls():
+    batch = pa.record_batch(
+        {"a": [1, None, 1, None, 2], "b": ["x", "x", "x", "x", None], "c": [*range(5)]}
+    )
+    (thinned,) = _first_per_batch(["a", "b"])(iter([batch]))
+    assert sorted(thinned["c"].to_pylist()) == [0, 1, 4]
+
+
 def test_busy_user_is_merged_before_the_shuffle(spark, feed):
     path = feed([event(i, i / 10, user=1) for i in range(3000)])
     build, whole = FORMS["sessions"]
