@@ -1,0 +1,59 @@
+"""Results stay whole when tasks fail and run again (in a process of its own)."""
+
+from __future__ import annotations
+
+from test_session import run
+
+CODE = """
+from collections import Counter
+from datetime import timedelta
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from millrace.operators import except_all, running, sessions, top_k, with_match, count_rows
+from millrace.session import session
+
+spark = session("t", "local[4,3]", 4)
+spark.sparkContext.setLogLevel("OFF")
+
+def flaky(batches):
+    task = TaskContext.get()
+    if task.attemptNumber() == 0 and task.partitionId() % 2 == 1:
+        raise RuntimeError("lost")
+    yield from batches
+
+number = F.col("id")
+sound = spark.range(0, 8000, 1, 4).select(
+    F.when(number % 3 == 0, F.lit(7)).otherwise(number % 11).alias("user_id"),
+    F.expr("timestamp_ntz'2024-01-01' + (id * 7919 % 5000) * interval '1' minute").alias("ts"),
+    number.alias("event_id"),
+)
+lossy = sound.mapInArrow(flaky, sound.schema)
+
+def rows(df):
+    return Counter(df.collect())
+
+def in_pieces(df, largest):
+    return running(
+        df, ["user_id"], ["ts", "event_id"],
+        {"n": F.lit(1).cast("bigint"), "sum": F.col("event_id")},
+        {"previous": "ts"}, max_group_rows=largest, piece_rows=300,
+    )
+
+assert rows(in_pieces(lossy, 100)) == rows(in_pieces(sound, 10**6))
+for form in (
+    lambda df: sessions(df, "ts", timedelta(minutes=5), ["user_id"], {"n": count_rows()}),
+    lambda df: top_k(df, 3, ["user_id"], [F.desc("ts"), F.asc("event_id")]),
+    lambda df: with_match(df, df.filter("event_id < 2").select(F.col("user_id").alias("u")),
+                          {"user_id": "u"}, salts=3),
+    lambda df: except_all(df.select("user_id"), df.filter("event_id < 99").select("user_id"), 10),
+):
+    assert rows(form(lossy)) == rows(form(sound))
+print("whole")
+"""
+
+
+def test_failed_tasks_run_again_without_changing_results(tmp_path):
+    (tmp_path / "spark-defaults.conf").write_text(
+        f"spark.ui.enabled false\nspark.checkpoint.dir {tmp_path}/shared\n"
+    )
+    assert run(CODE, tmp_path) == ["whole"]

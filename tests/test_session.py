@@ -45,7 +45,8 @@ print(shared_root(spark))
 print(run_folder(spark, "x") != run_folder(spark, "x"))
 """
     assert run(code, tmp_path) == [
-        "64m", "Europe/Oslo", "3", "128m", "True", f"{tmp_path}/shared", "True",
+        "64m", "Europe/Oslo", "3", "128m", "True",
+        f"{tmp_path}/shared", "True",
     ]
 
 
@@ -85,7 +86,7 @@ class _Cluster:
     def __init__(self, conf: dict, given: str | None = None) -> None:
         self.sparkContext = self
         self.master = "yarn"
-        self.getConf = lambda: conf
+        self.conf = conf
         self.getCheckpointDir = lambda: given
 
 
