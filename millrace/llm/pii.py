@@ -63,6 +63,7 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _NUMBER = re.compile(r"\d[\d ().-]*\d")
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)")
+_COUNTRY = re.compile(r"\+(\d{1,3})[ .-]")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(
     r"(?<!\d)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}"
@@ -144,6 +145,9 @@ class Keyed:
             # The first digit tells the issuer's kind and stays.
             head = entity[0]
             return head + self.until(kind, entity[1:], lambda x: luhn(head + x) == luhn(entity))
+        if kind == "phone":  # a country code stays
+            code, _, rest = entity.rpartition(" ")
+            return f"{code} {self.permute(kind, rest)}"
         if kind == "person":
             return self._person(entity)
         if kind == "family":
@@ -195,7 +199,10 @@ def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, s
             yield *m.span(), "ipv4", ".".join(map(str, parts))
     for kind, pattern in (("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
         for m in pattern.finditer(text, start, end):
-            yield *m.span(), kind, "".join(c for c in m.group() if c.isdigit())
+            digits = "".join(c for c in m.group() if c.isdigit())
+            if code := _COUNTRY.match(m.group()):
+                digits = f"{code[1]} {digits[len(code[1]) :]}"
+            yield *m.span(), kind, digits
 
 
 def _persons(text: str, start: int, end: int, word: str) -> Iterator[tuple[int, int, str, str]]:
@@ -214,7 +221,7 @@ def _shaped(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate's digits or letters in the punctuation of this mention."""
     if kind not in ("card", "phone", "ssn", "iban"):
         return surrogate
-    rest = iter(surrogate)
+    rest = (c for c in surrogate if c.isalnum())
     return "".join(next(rest) if c.isalnum() else c for c in mention)
 
 
