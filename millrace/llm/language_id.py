@@ -19,9 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .tables import even_sample
 from .wordhash import slices, text_buffers
 
 UNKNOWN = "und"
@@ -43,17 +43,13 @@ def fit(
 ) -> LanguageModel:
     """Learn from ``labelled`` (doc_id, text, lang); null texts and languages are left out.
 
-    The training sample is bounded: of each language the ``texts_per_language`` rows with the
-    smallest hashes of doc_id, each as a whole; repeated rows of one id are learned from
-    together. Of all contexts seen in them the ``contexts`` most frequent are kept, always with
-    the shorter ones below them. Runs jobs; with nothing to learn from the model has no language.
+    The training sample is bounded: about ``texts_per_language`` rows of each language, drawn by
+    a hash of doc_id, each as a whole; repeated rows of one id are learned from together. Of all
+    contexts seen in them the ``contexts`` most frequent are kept, always with the shorter ones
+    below them. Runs jobs; with nothing to learn from the model has no language.
     """
-    labelled = labelled.filter("doc_id is not null and text is not null and lang is not null")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(draw))
-    # At most texts_per_language ids for each language.
-    chosen = chosen.filter(F.col("nth") <= texts_per_language).select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    labelled = labelled.filter("text is not null")
+    sample = even_sample(labelled, "lang", "doc_id", texts_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

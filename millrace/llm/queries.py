@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, packing, pii
+from . import (
+    fingerprints,
+    impact_search,
+    language_id,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    revisits,
+    secrets,
+    toxicity,
+)
 from .tables import remainder, table
 
 PII_KEY = "surrogates-1"
@@ -19,15 +30,80 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scan(table(spark, root, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, root, "documents"), words=2, percent=80)
 
 
+def op3_warc_revisits(spark: SparkSession, root: str) -> DataFrame:
+    found = revisits.resolve(captures_of(table(spark, root, "pages")))
+    fields = ("etag", "date", "cache-control", "content-type", "content-length")
+    named = [F.element_at("headers", f).alias(f.replace("-", "_")) for f in fields]
+    return found.select("*", *named).drop("headers")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """Every page as a full response and as one revisit, about as many steps later as page_id says.
+
+    Some revisits come before their response, lack a tag, or have another one.
+    """
+    tag, nth = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"')), F.col("page_id")
+    later = nth + nth % 7 - 2
+    other = F.when(nth % 11 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
+
+    def headers(**fields: Column) -> Column:
+        pairs = [x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v.cast("string"))]
+        return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+
+    first = F.struct(
+        (nth * 2).alias("record_id"),
+        nth.alias("captured_at"),
+        F.lit("response").alias("kind"),
+        headers(
+            etag=tag,
+            date=nth,
+            cache_control=F.lit("max-age=60"),
+            content_type=F.lit("text/html"),
+            content_length=F.length("html"),
+        ).alias("headers"),
+    )
+    again = F.struct(
+        (nth * 2 + 1).alias("record_id"),
+        later.alias("captured_at"),
+        F.lit("revisit").alias("kind"),
+        headers(
+            etag=F.when(nth % 5 != 0, other),
+            date=later,
+            cache_control=F.lit("max-age=120"),
+            content_length=F.lit(0),
+        ).alias("headers"),
+    )
+    return pages.select("url", F.explode(F.array(first, again)).alias("one")).select("url", "one.*")
+
+
+def op4_impact_topk(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings")
+    vectors = rows.select("vec_id", impact_search.whole("embedding").alias("vector"))
+    asked = vectors.filter(F.col("vec_id") % 100 == 0)
+    return impact_search.search(impact_search.build(vectors), asked, k=10)
+
+
 def op5_pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return pii.with_surrogates(docs, PII_KEY)
 
 
+def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, root, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.filter(~held_out).join(labels.filter("label in (0, 1)"), "doc_id"))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).drop("text")
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(table(spark, root, "documents"), tokenizer_file(), with_ids=False)
 
@@ -40,6 +116,10 @@ def op8_language_id(spark: SparkSession, root: str) -> DataFrame:
     return language_id.predict(asked, model).drop("text", "bits_per_byte")
 
 
+def op9_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, root, "documents"))
+
+
 def op10_weighted_fair_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(table(spark, root, "documents")).drop("source")
 
@@ -47,12 +127,96 @@ def op10_weighted_fair_mix(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_minhash_near_dedup,
+        op3_warc_revisits,
+        op4_impact_topk,
         op5_pii_surrogates,
+        op6_toxicity,
         op7_packing,
         op8_language_id,
+        op9_fingerprints,
         op10_weighted_fair_mix,
     )
 }
 
-SQL: dict[str, str] = {}
+_URL = r"regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+
+SQL: dict[str, str] = {
+    "op3_warc_revisits": rf"""
+        with plain as (select *, {_URL} as u from pages),
+        parts as (
+            select *,
+                regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)),
+                    '^www\.', ''), ':(80|443)$', '')
+                || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as place,
+                array_to_string(list_sort(list_filter(
+                    string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+                    p -> p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')
+                )), '&') as query
+            from plain
+        ),
+        keyed as (
+            select page_id, html,
+                place || case when query = '' then '' else '?' || query end as url_key
+            from parts
+        ),
+        captures as (
+            select page_id * 2 as record_id, url_key, page_id as captured_at, 'response' as kind,
+                '"' || md5(html) || '"' as etag, page_id::varchar as date,
+                'max-age=60' as cache_control, 'text/html' as content_type,
+                length(html)::varchar as content_length
+            from keyed
+            union all
+            select page_id * 2 + 1, url_key, page_id + page_id % 7 - 2, 'revisit',
+                case when page_id % 5 = 0 then null when page_id % 11 = 3 then '"changed"'
+                    else 'W/"' || md5(html) || '"' end,
+                (page_id + page_id % 7 - 2)::varchar, 'max-age=120', null, '0'
+            from keyed
+        ),
+        stored as (
+            select *, last_value(case when kind = 'response' then struct_pack(
+                    record_id := record_id, etag := etag, content_type := content_type,
+                    content_length := content_length) end ignore nulls)
+                over (partition by url_key order by captured_at, record_id
+                    rows between unbounded preceding and 1 preceding) as s
+            from captures
+        ),
+        judged as (
+            select *, case when kind = 'response' then 'response'
+                when url_key is null or s is null then 'orphan'
+                when etag is null or s.etag is null then 'unvalidated'
+                when regexp_replace(etag, '^W/', '') = s.etag then 'resolved'
+                else 'mismatch' end as state
+            from stored
+        )
+        select record_id, url_key, captured_at, kind, state,
+            case when state = 'resolved' then s.record_id end as refers_to,
+            etag, date, cache_control,
+            case when state = 'resolved' then s.content_type else content_type end as content_type,
+            case when state = 'resolved' then s.content_length else content_length end
+                as content_length
+        from judged
+    """,
+    "op4_impact_topk": """
+        with whole as (
+            select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v
+            from embeddings
+            where embedding is not null
+                and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, w.vec_id,
+                list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * w.v[i]))::bigint
+                    as score
+            from whole q join whole w on q.vec_id <> w.vec_id
+            where q.vec_id % 100 = 0
+        ),
+        ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int
+                as rank
+            from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 10
+    """,
+}

@@ -1,0 +1,238 @@
+"""Secrets in texts, with structural confirmation of encoded candidates.
+
+Besides assignments, access keys and long hex strings, runs of base64 or hex digits are decoded
+and reported only if their bytes have the structure of a secret: a DER sequence whose nested
+lengths fit exactly and that starts like a key, the length-prefixed fields of an SSH key, the
+header of a private key file, or a signed token whose header is a JSON object naming its algorithm.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import json
+import re
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .wordhash import text_buffers
+
+BASE = ("assign", "access", "hex")
+KINDS = (*BASE, "token", "der_key", "ssh_key", "pem_key")
+
+_ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.IGNORECASE | re.ASCII,
+)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s:,-])*)-----END \1-----"
+)
+
+_LONG_RUN = 24
+_CODED = np.zeros(256, bool)
+_CODED[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    found = [
+        ("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8
+    ]
+    found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return found
+
+
+def hex_spans(text: str) -> list[tuple[str, int, int]]:
+    return [("hex", *m.span()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
+
+
+def der_parts(data: bytes) -> list[tuple[int, bytes]] | None:
+    """The (tag, content) parts that fill ``data`` exactly, or None."""
+    parts, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return None
+        tag, size = data[at], data[at + 1]
+        at += 2
+        if size & 0x80:
+            width = size & 0x7F
+            if not 1 <= width <= 4 or at + width > len(data):
+                return None
+            size = int.from_bytes(data[at : at + width])
+            at += width
+        if at + size > len(data):
+            return None
+        parts.append((tag, data[at : at + size]))
+        at += size
+    return parts
+
+
+def is_der_key(data: bytes) -> bool:
+    """One outer sequence, filled exactly: version and key parts, or algorithm and key bits."""
+    outer = der_parts(data)
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    inner = der_parts(outer[0][1])
+    if not inner or len(inner) < 2:
+        return False
+    tags = [tag for tag, _ in inner]
+    if tags[0] == 0x02 and inner[0][1] in (b"\0", b"\1"):  # a version
+        if tags[1] == 0x30:  # algorithm, then the wrapped key
+            return len(tags) > 2 and tags[2] == 0x04 and _algorithm(inner[1][1])
+        if tags[1] == 0x04:  # a private value on a named curve
+            return len(inner[1][1]) >= 16
+        return len(tags) >= 5 and all(t == 0x02 for t in tags) and len(inner[1][1]) >= 32
+    if tags == [0x30, 0x03]:  # algorithm and public key bits
+        return _algorithm(inner[0][1]) and inner[1][1][:1] == b"\0"
+    if tags == [0x30, 0x04]:  # encrypted private key
+        return _algorithm(inner[0][1])
+    return tags == [0x02, 0x02] and len(inner[0][1]) >= 32  # modulus and exponent
+
+
+def _algorithm(data: bytes) -> bool:
+    parts = der_parts(data)
+    return bool(parts) and parts[0][0] == 0x06 and len(parts[0][1]) >= 3
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A private key file's mark, or length-prefixed fields, the first of which names a key type."""
+    if data.startswith(b"openssh-key-v1\0"):
+        return True
+    fields, at = [], 0
+    while at < len(data):
+        if at + 4 > len(data):
+            return False
+        size = int.from_bytes(data[at : at + 4])
+        at += 4 + size
+        if at > len(data):
+            return False
+        fields.append(data[at - size : at])
+    return len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+
+
+def is_token(text: str) -> bool:
+    """Header and claims are JSON objects and the header names an algorithm."""
+    head, claims, _ = text.split(".")
+    try:
+        header = json.loads(_unbase64(head))
+        return (
+            isinstance(header, dict)
+            and isinstance(header.get("alg"), str)
+            and isinstance(json.loads(_unbase64(claims)), dict)
+        )
+    except (ValueError, RecursionError):
+        return False
+
+
+def _unbase64(text: str) -> bytes:
+    plain = text.rstrip("=").replace("-", "+").replace("_", "/")
+    return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
+
+
+def _kind_of(data: bytes) -> str | None:
+    if is_der_key(data):
+        return "der_key"
+    return "ssh_key" if is_ssh_key(data) else None
+
+
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans whose decoded bytes have the structure of a key or signed token."""
+    found, taken = [], []
+    for m in _PEM.finditer(text):
+        body = "".join(line for line in m[2].split() if ":" not in line and "," not in line)
+        try:
+            if _kind_of(_unbase64(body)) or "ENCRYPTED" in m[0]:
+                found.append(("pem_key", *m.span()))
+                taken.append(m.span())
+        except ValueError:
+            continue
+    for m in _TOKEN.finditer(text):
+        if is_token(m[0]):
+            found.append(("token", *m.span()))
+            taken.append(m.span())
+    for pattern, decode in ((_BASE64, _unbase64), (_ANY_HEX, binascii.unhexlify)):
+        for m in pattern.finditer(text):
+            if any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            try:
+                kind = _kind_of(decode(m[0]))
+            except ValueError:
+                continue
+            if kind:
+                found.append((kind, *m.span()))
+                taken.append(m.span())
+    return found
+
+
+def joined(spans: list[tuple[str, int, int]]) -> str:
+    order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in order)
+
+
+def _rows_with_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows have a run of ``_LONG_RUN`` or more coded characters, or a key file's dashes."""
+    if not len(data):
+        return np.zeros(len(offsets) - 1, bool)
+    coded = _CODED[data]
+    first, last = coded.copy(), coded.copy()
+    first[1:] &= ~coded[:-1]
+    last[:-1] &= ~coded[1:]
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]  # a run ends with its row
+    first[cuts] = coded[cuts]
+    last[cuts - 1] = coded[cuts - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    rows = np.searchsorted(offsets, starts[ends - starts >= _LONG_RUN], "right") - 1
+    return np.bincount(rows, minlength=len(offsets) - 1) > 0
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): counts of the base kinds, their digest, and all spans.
+
+    Whole texts are searched; a null text is empty. Positions count code points, ends are
+    exclusive. ``spans`` lists base and confirmed spans as kind:start:end by start, then kind in
+    the order of ``KINDS``; base_sha256 is the SHA-256 of the same list of base spans. Each row is
+    scanned on its own, so repeated rows repeat, a null doc_id is kept and other columns are
+    ignored. An empty table gives an empty result.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            base = offsets[0]
+            runs = _rows_with_runs(data[base : offsets[-1]], offsets - base)
+            counts, digests, spans = [], [], []
+            for text, run in zip(batch.column(1).to_pylist(), runs):
+                text = text or ""
+                plain = base_spans(text)
+                more = []
+                if run:
+                    plain += hex_spans(text)
+                    more = confirmed_spans(text)
+                kinds = [kind for kind, _, _ in plain]
+                counts.append([kinds.count(kind) for kind in BASE])
+                digests.append(sha256(joined(plain).encode()).hexdigest())
+                spans.append(joined(plain + more))
+            columns = [[c[k] for c in counts] for k in range(len(BASE))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(c, pa.int64()) for c in columns),
+                    pa.array(digests, pa.string()),
+                    pa.array(spans, pa.string()),
+                ],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
+
+    schema = (
+        "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
+        "base_sha256 string, spans string"
+    )
+    return docs.select("doc_id", "text").mapInArrow(find, schema)

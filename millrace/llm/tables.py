@@ -15,3 +15,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def remainder(key: str, parts: int):
     """crc32 of a key written as text, modulo ``parts``; null for a null key."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
+
+
+def even_sample(df: DataFrame, per: str, key: str, about: int) -> DataFrame:
+    """About ``about`` rows for each value of column ``per``, all where there are fewer.
+
+    Rows are drawn by a hash of ``key`` below a limit set by the value's count, so the same rows
+    are drawn in every run, no group meets in one task, and rows that share a key are drawn
+    together. Rows with a null in either column are left out. Runs a job that counts.
+    """
+    df = df.filter(F.col(per).isNotNull() & F.col(key).isNotNull())
+    counts = df.groupBy(F.col(per).alias("_per")).agg(F.count("*").alias("_rows"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    limit = F.lit(about) / F.col("_rows") * F.lit(float(1 << 40))
+    return df.join(counts, F.col(per) == F.col("_per")).filter(draw < limit).select(*df.columns)
