@@ -152,7 +152,7 @@ SQL: dict[str, str] = {
                 || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as place,
                 array_to_string(list_sort(list_filter(
                     string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
-                    p -> p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')
+                    lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')
                 )), '&') as query
             from plain
         ),
@@ -200,14 +200,14 @@ SQL: dict[str, str] = {
     """,
     "op4_impact_topk": """
         with whole as (
-            select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
             from embeddings
             where embedding is not null
-                and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ),
         scored as (
             select q.vec_id as query_id, w.vec_id,
-                list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * w.v[i]))::bigint
+                list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * w.v[i]))::bigint
                     as score
             from whole q join whole w on q.vec_id <> w.vec_id
             where q.vec_id % 100 = 0

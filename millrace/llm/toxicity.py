@@ -54,14 +54,19 @@ def features(data: np.ndarray, offsets: np.ndarray, among: np.ndarray) -> tuple[
 
 
 def fit(
-    labelled: DataFrame, per_label: int = 2000, chosen: int = 32768, rounds: int = 200
+    labelled: DataFrame,
+    per_label: int = 2000,
+    chosen: int = 1024,
+    rounds: int = 200,
+    penalty: float = 0.01,
 ) -> ToxicityModel:
     """Learn from ``labelled`` (doc_id, text, label 0 or 1).
 
     The training sample is bounded: about ``per_label`` rows of each label, drawn by a hash of
     doc_id, each text as a whole; null labels are left out and a null text is empty. Features
-    seen in three texts or more compete by |r| times the root of their count for ``chosen`` places.
-    The regression is fitted on the sample's chosen features, on the driver. Without texts
+    seen in three texts or more compete by the likelihood-ratio statistic of their counts in
+    both labels for ``chosen`` places. The regression, with an L2 ``penalty``, is fitted on the
+    sample's chosen features, on the driver. Without texts
     of both labels every score is the share of label 1, or 0.5 where there is none. Runs jobs.
     """
     sample = even_sample(labelled, "label", "doc_id", per_label).select("label", "text")
@@ -86,7 +91,7 @@ def fit(
     for found in sample.mapInArrow(count, "total binary").toLocalIterator():
         seen += np.frombuffer(found["total"], np.int32).reshape(2, buckets)
     ratios = np.log((1 + seen[1]) / (1 + seen[1]).sum()) - np.log((1 + seen[0]) / (1 + seen[0]).sum())
-    rank = np.abs(ratios) * np.sqrt(seen.sum(axis=0)) * (seen.sum(axis=0) >= 3)
+    rank = _association(seen, sample.agg(F.avg("label")).first()[0]) * (seen.sum(axis=0) >= 3)
     best = np.argsort(-rank, kind="stable")[:chosen]
     among = np.zeros(buckets, bool)
     among[best[rank[best] > 0]] = True
@@ -107,10 +112,20 @@ def fit(
 
     # Bounded by the sample times the chosen features.
     rows = sample.mapInArrow(pick, "label int, found array<int>").toArrow()
-    return _regression(rows, ratios, rounds)
+    return _regression(rows, ratios, rounds, penalty)
 
 
-def _regression(rows: pa.Table, ratios: np.ndarray, rounds: int) -> ToxicityModel:
+def _association(seen: np.ndarray, share: float | None) -> np.ndarray:
+    """The statistic G of counts by label against counts that do not depend on the label."""
+    total, parts = seen.sum(axis=0), np.zeros(seen.shape[1])
+    for one, part in ((1, share or 0.0), (0, 1 - (share or 0.0))):
+        parts += seen[one] * np.log(np.maximum(seen[one], 1) / np.maximum(total * part, 1e-9))
+    return 2 * parts
+
+
+def _regression(
+    rows: pa.Table, ratios: np.ndarray, rounds: int, penalty: float
+) -> ToxicityModel:
     label = rows["label"].to_numpy().astype(np.float64)
     model = ToxicityModel(np.zeros(len(ratios), np.float32), 0.0)
     share = label.mean() if len(label) else 0.5
@@ -129,7 +144,7 @@ def _regression(rows: pa.Table, ratios: np.ndarray, rounds: int) -> ToxicityMode
     for turn in range(1, rounds + 1):  # Adam over all rows
         z = np.bincount(row, (scale * w)[at], minlength=len(label)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * balance
-        slope = np.bincount(at, error[row], minlength=len(used)) * scale + 1e-4 * w
+        slope = np.bincount(at, error[row], minlength=len(used)) * scale + penalty * w
         slope = np.append(slope, error.sum())
         step[0] = 0.9 * step[0] + 0.1 * slope
         step[1] = 0.999 * step[1] + 0.001 * slope**2
