@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import even_sample
-from .wordhash import slices, text_buffers
+from .wordhash import slices, small, text_buffers
 
 UNKNOWN = "und"
 _UNIT = 65536
@@ -52,7 +52,7 @@ def fit(
     sample = even_sample(labelled, "lang", "doc_id", texts_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = text_buffers(batch.column(1))
             langs = np.array(batch.column(0).to_pylist(), object)
             for row, end in slices(offsets):
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             usable = batch.column(letter).to_numpy(zero_copy_only=False)
             langs, scores, bits = [None] * len(usable), np.zeros(len(usable)), [None] * len(usable)
             if model.languages and len(usable):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import written
 from .components import components
-from .wordhash import mix, shingle_hashes, slices, text_buffers, word_hashes
+from .wordhash import mix, shingle_hashes, slices, small, text_buffers, word_hashes
 
 MINIMA = 128
 BITS = 4
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, signature, bands`` per row; the last three null if empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             count, keys, signs, bands = [], [], [], []
             for found in shingle_sets(batch.column(1), words):
                 count.append(len(found))
@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 known[text] = one
             return known[text]
 
-        for batch in batches:
+        for batch in small(batches):
             left, right = batch.column(2), batch.column(3)
             rows = [
                 row

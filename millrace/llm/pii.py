@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .wordhash import small
+
 # Titles and given names, by gender and script.
 TITLES = {
     "m": "Mr Mister Sir Herr Monsieur Señor Sr Don Господин Κύριος".split(),
@@ -235,7 +237,7 @@ def entities(docs: DataFrame, key: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Keyed(key)
         make = lru_cache(100_000)(keyed.surrogate)
-        for batch in batches:
+        for batch in small(batches):
             seen = {
                 (kind, entity): make(kind, entity)
                 for text in batch.column(0).to_pylist()
@@ -280,7 +282,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = lru_cache(100_000)(Keyed(key).surrogate)
-        for batch in batches:
+        for batch in small(batches):
             texts, counts, kinds = [], [], []
             for text in batch.column(place).to_pylist():
                 found = mentions(text) if text else []

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .wordhash import text_buffers
+from .wordhash import small, text_buffers
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "token", "der_key", "ssh_key", "pem_key")
@@ -204,7 +204,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = text_buffers(batch.column(1))
             base = offsets[0]
             runs = _rows_with_runs(data[base : offsets[-1]], offsets - base)

@@ -28,4 +28,5 @@ def even_sample(df: DataFrame, per: str, key: str, about: int) -> DataFrame:
     counts = df.groupBy(F.col(per).alias("_per")).agg(F.count("*").alias("_rows"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
     limit = F.lit(about) / F.col("_rows") * F.lit(float(1 << 40))
-    return df.join(counts, F.col(per) == F.col("_per")).filter(draw < limit).select(*df.columns)
+    joined = df.join(F.broadcast(counts), F.col(per) == F.col("_per"))
+    return joined.filter(draw < limit).select(*df.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import written
 from .tables import even_sample
-from .wordhash import slices, text_buffers
+from .wordhash import slices, small, text_buffers
 
 SIZES = (4, 5)
 BUCKET_BITS = 19
@@ -76,7 +76,7 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int32)
         everything = np.ones(buckets, bool)
-        for batch in batches:
+        for batch in small(batches):
             label = np.array(batch.column(0).to_pylist(), np.int64)
             data, offsets = text_buffers(batch.column(1))
             for at, end in slices(offsets):
@@ -97,7 +97,7 @@ def fit(
     among[best[rank[best] > 0]] = True
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = text_buffers(batch.column(1))
             for at, end in slices(offsets):
                 row, bucket = features(data, offsets[at : end + 1], among)
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         among = model.weights != 0
-        for batch in batches:
+        for batch in small(batches):
             data, offsets = text_buffers(batch.column(place))
             z = np.full(batch.num_rows, model.bias)
             for at, end in slices(offsets):
