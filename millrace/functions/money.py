@@ -17,7 +17,10 @@ HUNDREDTHS, TEN_THOUSANDTHS = 2, 4
 
 
 def _hundredths(column: str) -> Column:
-    return F.rint(F.col(column) * 100).cast("bigint")
+    scaled = F.col(column) * 100
+    wrong = F.raise_error(F.lit(f"{column} has a value finer than 0.01"))
+    fits = F.abs(scaled - F.rint(scaled)) <= F.greatest(F.lit(1e-4), F.abs(scaled) * 1e-15)
+    return F.when(fits | scaled.isNull(), F.rint(scaled).cast("bigint")).otherwise(wrong)
 
 
 def hundredths(column: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,15 @@ def with_match(
 def without_match(
     left: DataFrame, right: DataFrame, on: dict[str, str], salts: int = 1
 ) -> DataFrame:
-    """Rows of ``left`` with no match in ``right``; rows with a null key are kept."""
-    return _match(left, right, on, "left_anti", salts)
+    """Rows of ``left`` with no match in ``right``; rows with a null key are kept.
+
+    Rows with a null key go around the join, so that they do not meet in one task.
+    """
+    complete = reduce(and_, (F.col(key).isNotNull() for key in on))
+    unmatched = _match(left.filter(complete), right, on, "left_anti", salts)
+    if not any(left.schema[key].nullable for key in on):
+        return unmatched
+    return unmatched.unionByName(left.filter(~complete))
 
 
 def _match(

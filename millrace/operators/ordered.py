@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workspace import written
+from ..workspace import shared_root, written
 
 
 def running(
@@ -28,6 +28,7 @@ def running(
     rows are cut by range into pieces of about ``piece_rows``, so that a group may span
     many of them, and what precedes a piece is carried into it. Both give equal rows.
     """
+    shared_root(df.sparkSession)  # asked for at every size, so that growth can't break a job
     totals, previous = totals or {}, previous or {}
     largest, rows = (
         df.groupBy(*keys).count().agg(F.max("count"), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -85,11 +86,11 @@ def _in_pieces(
     ).filter("_nth_piece > 1")
 
     # Ranges are contiguous, so at most one group continues into a piece from the one
-    # before: this side has fewer rows than there are pieces.
+    # before: this side has fewer rows than there are pieces. Spark chooses how to join it.
     same = [F.col("_piece") == F.col("_into")] + [
         F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys
     ]
-    joined = rows.join(F.broadcast(carried), same, "left")
+    joined = rows.join(carried, same, "left")
     return joined.select(
         *df.columns,
         *(

@@ -25,7 +25,8 @@ def hourly_events_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         return tumbling_windows(stream, "ts", HOUR, ["event_type"], event_measures(), DELAY)
 
-    return as_double(replay(tables.spark, tables.path("events"), build, "hourly", CLOSE_AFTER))
+    path, open_for = tables.path("events"), DELAY + HOUR
+    return as_double(replay(tables.spark, path, build, "hourly", CLOSE_AFTER, open_for=open_for))
 
 
 def hourly_events_every_quarter_stream(tables: Tables) -> DataFrame:
@@ -34,14 +35,16 @@ def hourly_events_every_quarter_stream(tables: Tables) -> DataFrame:
             stream, "ts", HOUR, QUARTER, ["event_type"], event_measures(), DELAY
         )
 
-    return as_double(replay(tables.spark, tables.path("events"), build, "sliding", CLOSE_AFTER))
+    path, open_for = tables.path("events"), DELAY + HOUR
+    return as_double(replay(tables.spark, path, build, "sliding", CLOSE_AFTER, open_for=open_for))
 
 
 def user_sessions_stream(tables: Tables) -> DataFrame:
     def build(stream: DataFrame) -> DataFrame:
         return session_windows(stream, "ts", GAP, ["user_id"], event_measures(), DELAY)
 
-    return as_double(replay(tables.spark, tables.path("events"), build, "sessions", CLOSE_AFTER))
+    path, open_for = tables.path("events"), DELAY + GAP
+    return as_double(replay(tables.spark, path, build, "sessions", CLOSE_AFTER, open_for=open_for))
 
 
 def events_delivered_once_stream(tables: Tables) -> DataFrame:

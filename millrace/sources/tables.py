@@ -39,6 +39,7 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._checked: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -46,8 +47,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
+        self._check(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
+    def _check(self, name: str) -> None:
+        """Refuse files that lack a declared column, which would otherwise read as null."""
+        if name not in self._checked:
+            there = set(self.spark.read.parquet(self.path(name)).columns)
+            declared = [field.split()[0] for field in SCHEMAS[name].split(", ")]
+            if missing := [column for column in declared if column not in there]:
+                raise ValueError(f"{self.path(name)} has no column {', '.join(missing)}")
+            self._checked.add(name)
+
 
 class CatalogTables:
     """The same tables from a database of the session catalog, for instance bucketed ones."""
@@ -56,6 +67,11 @@ class CatalogTables:
         self.spark = spark
         self.database = database
 
+    def path(self, name: str) -> str:
+        """Where the table's files are, for stream readers."""
+        rows = self.spark.sql(f"describe formatted {self.database}.{name}")
+        return rows.filter("col_name = 'Location'").first()["data_type"].removeprefix("file:")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)

@@ -1,10 +1,12 @@
 """Structured Streaming forms of the event jobs."""
 
 from .replay import LateEvents, replay
-from .source import event_stream
+from .source import ALL_FILES, FILES_PER_BATCH, event_stream
 from .windows import deduplicated, session_windows, sliding_windows, tumbling_windows
 
 __all__ = [
+    "ALL_FILES",
+    "FILES_PER_BATCH",
     "LateEvents",
     "deduplicated",
     "event_stream",

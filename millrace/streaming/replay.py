@@ -8,10 +8,11 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources import SCHEMAS
 from ..workspace import run_folder
-from .source import event_stream
+from .source import FILES_PER_BATCH, event_stream
 
 # A running stream keeps the values that hold when it starts.
 STREAM_SETTINGS = {
@@ -22,7 +23,7 @@ STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Joins up sessions in each map task, before a busy key is shuffled to one task.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Progress reports kept per query; late rows are counted over them.
+    # Progress reports kept between two looks at them.
     "spark.sql.streaming.numRecentProgressUpdates": "10000",
 }
 
@@ -37,26 +38,33 @@ def replay(
     build: Callable[[DataFrame], DataFrame],
     label: str,
     close_after: timedelta | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
     drop_late: bool = False,
     folder: str | None = None,
+    open_for: timedelta | None = None,
 ) -> DataFrame:
     """Run ``build`` over the event files at ``path`` in append mode; return its output.
 
     In append mode the windows that the watermark has not passed stay unwritten. With
     ``close_after`` one more event follows, that long after the last one, which moves the
-    watermark past them. It has to exceed the delay plus the longest window or gap; the
-    closing event's own window then stays open and unwritten.
-
-    All files form one batch, so their order does not matter. Where they were written in
-    the order of event time, to within the delay, ``files_per_batch`` takes them oldest
-    first and keeps the state small. Were that wrong, the watermark would drop events; as a
-    replay is meant to be whole, that raises :class:`LateEvents` unless ``drop_late`` is set.
+    watermark past them. It has to exceed the delay plus the longest window or gap, which
+    is checked where that sum is given as ``open_for``; the closing event's own window then
+    stays open and unwritten.
+
+    Files are taken oldest first, ``files_per_batch`` at a time, which keeps the state small
+    where they were written in the order of event time, to within the delay. Were that wrong, the
+    watermark would drop events; as a replay is meant to be whole, that raises
+    :class:`LateEvents` unless ``drop_late`` is set. Late rows are counted per batch, in
+    ``folder``, for any number of batches and over restarts; a batch whose count was lost
+    with the driver raises too. With ``ALL_FILES`` in one batch their order does not matter.
+    Jobs run when this is called.
 
     Output, checkpoint and closing event lie in ``folder``, by default a new one below the
     shared one. A replay whose driver was lost goes on from there when it is started again
     with the same folder; the file sink's log lets no batch appear twice.
     """
+    if close_after is not None and open_for is not None and close_after <= open_for:
+        raise ValueError(f"close_after has to exceed {open_for}, or windows stay unwritten")
     folder = folder or run_folder(spark, label)
     stream = event_stream(spark, path, files_per_batch)
     if close_after is not None:
@@ -65,9 +73,8 @@ def replay(
         events.limit(0).write.mode("ignore").parquet(closing)
         stream = stream.unionByName(event_stream(spark, closing))
     result = build(stream)
-    late = 0
-    if close_after is None or files_per_batch is not None:
-        late += _drain(result, folder)
+    if close_after is None or len(spark.read.parquet(path).inputFiles()) > files_per_batch:
+        _drain(result, folder)
     if close_after is not None:
         # Within one batch nothing is late, so the event may come with the files; after
         # several batches the stream is resumed with it.
@@ -79,14 +86,15 @@ def replay(
             if field.name != "ts"
         ]
         last.select("ts", *others).select(*events.columns).write.mode("append").parquet(closing)
-        late += _drain(result, folder)
-    if late and not drop_late:
-        raise LateEvents(f"{late} late rows were dropped: raise the delay, or set drop_late")
+        _drain(result, folder)
+    if not drop_late:
+        _refuse_late(spark, folder)
     return spark.read.schema(result.schema).parquet(f"{folder}/output")
 
 
-def _drain(result: DataFrame, folder: str) -> int:
-    """Process what is there, and return how many rows the watermark dropped."""
+def _drain(result: DataFrame, folder: str) -> None:
+    """Process what is there, and note under ``folder`` how many rows each batch dropped."""
+    noted: set[int] = set()
     with _settings(result.sparkSession, STREAM_SETTINGS):
         query = (
             result.writeStream.format("parquet")
@@ -96,12 +104,33 @@ def _drain(result: DataFrame, folder: str) -> int:
             .trigger(availableNow=True)
             .start()
         )
-    query.awaitTermination()
-    return sum(
-        operator.numRowsDroppedByWatermark
+        while not query.awaitTermination(1):
+            _note(query, noted, folder)
+        _note(query, noted, folder)
+
+
+def _note(query: StreamingQuery, noted: set[int], folder: str) -> None:
+    new = {
+        progress.batchId: sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
         for progress in query.recentProgress
-        for operator in progress.stateOperators
-    )
+        if progress.batchId not in noted
+    }
+    if new:
+        spark = SparkSession.active()
+        counts = spark.createDataFrame(list(new.items()), "batch bigint, late bigint")
+        counts.coalesce(1).write.mode("append").parquet(f"{folder}/late")
+        noted.update(new)
+
+
+def _refuse_late(spark: SparkSession, folder: str) -> None:
+    counts = spark.read.schema("batch bigint, late bigint").parquet(f"{folder}/late")
+    # A batch that ran again after a restart has several counts.
+    per_batch = counts.groupBy("batch").agg(F.max("late").alias("late"))
+    late, known, last = per_batch.agg(F.sum("late"), F.count("*"), F.max("batch")).first()
+    if late:
+        raise LateEvents(f"{late} late rows were dropped: raise the delay, or set drop_late")
+    if known != last + 1:
+        raise LateEvents(f"late rows of {last + 1 - known} batches were not counted")
 
 
 @contextmanager

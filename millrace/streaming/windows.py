@@ -64,18 +64,22 @@ def session_windows(
     )
 
 
-def deduplicated(stream: DataFrame, ts: str, keys: list[str], delay: timedelta) -> DataFrame:
+def deduplicated(
+    stream: DataFrame, ts: str, keys: list[str], delay: timedelta, thin: bool = False
+) -> DataFrame:
     """Drop repeats of ``keys`` that arrive within ``delay`` of the first, in event time.
 
     A key is forgotten once the watermark has passed it, so state holds the keys of the
     last ``delay`` only. A repeat whose event time lies further off may pass again.
 
-    All copies of a key meet in one task. Spark's operator sends it every copy; here each
-    map task first drops the repeats within an Arrow batch, so that a key with very many
-    copies brings one row per batch.
+    All copies of a key meet in one task. Spark's operator sends it every copy; with ``thin``
+    each map task first drops the repeats within an Arrow batch, so that a key with very many
+    copies brings one row per batch. That takes every row through Python, and keys can't
+    be structs then.
     """
-    thinned = stream.mapInArrow(_first_per_batch(keys), stream.schema)
-    return thinned.withWatermark(ts, interval(delay)).dropDuplicatesWithinWatermark(keys)
+    if thin:
+        stream = stream.mapInArrow(_first_per_batch(keys), stream.schema)
+    return stream.withWatermark(ts, interval(delay)).dropDuplicatesWithinWatermark(keys)
 
 
 def _first_per_batch(keys: list[str]) -> Callable[[Iterator], Iterator]:

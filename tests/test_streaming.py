@@ -15,6 +15,7 @@ from millrace.functions import from_instant, hundredths
 from millrace.operators import count_rows, sessions, sliding, tumbling
 from millrace.sources import SCHEMAS
 from millrace.streaming import (
+    ALL_FILES,
     LateEvents,
     deduplicated,
     replay,
@@ -89,7 +90,7 @@ FORMS = {
 }
 
 
-@pytest.mark.parametrize("files_per_batch", [None, 1, 2])
+@pytest.mark.parametrize("files_per_batch", [ALL_FILES, 1, 2])
 @pytest.mark.parametrize("form", FORMS)
 def test_stream_gives_the_batch_result(spark, out_of_order, form, files_per_batch):
     build, whole = FORMS[form]
@@ -173,7 +174,8 @@ def test_key_with_very_many_copies_is_thinned_before_the_shuffle(spark, feed):
     path = feed([event(7 if i % 3 == 0 else i, i / 100) for i in range(6000)])
 
     def once(stream):
-        return deduplicated(stream, "ts", ["event_id"], HOUR).withColumn("ts", from_instant("ts"))
+        once = deduplicated(stream, "ts", ["event_id"], HOUR, thin=True)
+        return once.withColumn("ts", from_instant("ts"))
 
     result = replay(spark, path, once, "copies")
     assert result.count() == result.select("event_id").distinct().count() == 4000
@@ -200,7 +202,7 @@ def test_busy_user_is_merged_before_the_shuffle(spark, feed):
     )  # the stream's own settings are not left behind
 
 
-@pytest.mark.parametrize("files_per_batch, lost_in", [(None, 1), (1, 1), (1, 2)])
+@pytest.mark.parametrize("files_per_batch, lost_in", [(ALL_FILES, 1), (1, 1), (1, 2)])
 def test_replay_goes_on_after_a_lost_driver(
     spark, out_of_order, tmp_path, monkeypatch, files_per_batch, lost_in
 ):
@@ -211,10 +213,9 @@ def test_replay_goes_on_after_a_lost_driver(
 
     def losing(result, folder):
         calls.append(folder)
-        late = drain(result, folder)
+        drain(result, folder)
         if len(calls) == lost_in:
             raise ConnectionError("driver lost")
-        return late
 
     folder = str(tmp_path / "run")
     build, whole = FORMS["sliding"]
@@ -231,3 +232,31 @@ def test_table_may_be_a_folder(spark, out_of_order):
     table = spark.read.schema(SCHEMAS["events"]).parquet(out_of_order)
     result = replay(spark, out_of_order + "/", hourly, "folder", timedelta(hours=3))
     assert result.agg(F.sum("n")).first()[0] == table.count()
+
+
+def test_a_late_event_is_told_after_more_than_a_hundred_batches(spark, feed):
+    files = [[event(i, 60 * i)] for i in range(104)]
+    files[3] = [event(3, 0)]
+    build = lambda stream: hourly(stream, timedelta(minutes=1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a batch is quicker so
+    try:
+        with pytest.raises(LateEvents):
+            replay(spark, feed(*files), build, "many", timedelta(hours=3), files_per_batch=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_late_event_before_a_lost_driver_is_told(spark, feed, tmp_path):
+    path = feed([event(1, 0)], [event(2, 600)], [event(3, 1)], [event(4, 700)])
+    build = lambda stream: hourly(stream, timedelta(minutes=1))
+    given = dict(close_after=timedelta(hours=3), files_per_batch=1, folder=str(tmp_path / "run"))
+    for _ in range(2):
+        with pytest.raises(LateEvents):
+            replay(spark, path, build, "again", **given)
+
+
+def test_a_short_closing_time_is_refused(spark, feed):
+    short = timedelta(minutes=1)
+    with pytest.raises(ValueError):
+        replay(spark, feed([event(1, 0)]), hourly, "short", short, open_for=2 * HOUR)
