@@ -54,22 +54,29 @@ def features(data: np.ndarray, offsets: np.ndarray, among: np.ndarray) -> tuple[
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     per_label: int = 2000,
     chosen: int = 1024,
     rounds: int = 200,
     penalty: float = 0.01,
 ) -> ToxicityModel:
-    """Learn from ``labelled`` (doc_id, text, label 0 or 1).
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label); other columns are ignored.
 
-    The training sample is bounded: about ``per_label`` rows of each label, drawn by a hash of
-    doc_id, each text as a whole; null labels are left out and a null text is empty. Features
+    The training sample is bounded: about ``per_label`` documents of each label, drawn by a hash of
+    doc_id, each text as a whole. Labels other than 0 and 1, and null ids, are left out, a null
+    text is empty, repeated labels count once, and an id labelled both ways is learned both ways.
+    Only ids are joined to labels; of the texts none but the sample's are shuffled. Features
     seen in three texts or more compete by the likelihood-ratio statistic of their counts in
     both labels for ``chosen`` places. The regression, with an L2 ``penalty``, is fitted on the
     sample's chosen features, on the driver. Without texts
     of both labels every score is the share of label 1, or 0.5 where there is none. Runs jobs.
     """
-    sample = even_sample(labelled, "label", "doc_id", per_label).select("label", "text")
+    labels = labels.filter("label in (0, 1)").select("doc_id", "label").distinct()
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    drawn = even_sample(written(labels, "labels"), "label", "doc_id", per_label)
+    # Distinct ids, about per_label for each of two labels.
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
     sample = written(sample.repartition(8), "labelled")
     buckets = 1 << BUCKET_BITS
 

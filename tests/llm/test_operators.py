@@ -179,11 +179,11 @@ def test_surrogates_of_awkward_rows(awkward, nothing):
 def test_toxicity_of_held_out_rows(spark, awkward, nothing):
     rows = [(i, f"text number {i} " + ("you idiot" if i % 4 == 0 else "you friend"), int(i % 4 == 0)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
-    model = toxicity.fit(table.filter("doc_id < 300"))
+    model = toxicity.fit(table.filter("doc_id < 300"), table)
     found = toxicity.score(table.filter("doc_id >= 300"), model).collect()
     assert all(r.predicted == r.label for r in found)
     assert all(0 <= r.score <= 1 for r in toxicity.score(awkward, model).collect())
-    bare = toxicity.fit(table.limit(0))
+    bare = toxicity.fit(table.limit(0), table)
     assert [r.score for r in toxicity.score(awkward, bare).limit(1).collect()] == [0.5]
     assert toxicity.score(nothing, model).count() == 0
 
