@@ -51,9 +51,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows that repeat an id were served one by one; each of them gets the average.
     times = found.filter("times > 0").groupBy("doc_id").agg(F.avg("times").alias("times"))
     times = times.withColumn("times", F.ceil("times").cast("int"))
-    copies = docs.join(times, "doc_id").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("times")))
-    )
+    times = times.withColumnRenamed("doc_id", "_id")
+    copies = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*COLUMNS)
 
 

@@ -269,3 +269,13 @@ def test_pipeline_keeps_its_columns(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == corpus_pipeline.COLUMNS, name
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_mixing_stage_keeps_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(None, "one two three", "en", "a", 13, 9), (1, "four five six", "en", "a", 13, 9), (2, None, None, None, 0, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, times int")
+    kept = corpus_pipeline.mix(spark, docs, SMALL)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert {r.doc_id for r in kept.collect()} == {None, 1}
