@@ -44,9 +44,12 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take every document as often as the mix does, in whole passes: its taken words / its size."""
+    """Take every document as often as the mix does, in whole passes: its taken words / its size.
+
+    Documents without words are in no mix and go.
+    """
     found = mixing.mixed(docs).select(
-        "doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
+        "doc_id", F.round(F.try_divide("taken", "size")).cast("int").alias("times")
     )
     # Rows that repeat an id were served one by one; each of them gets the average.
     times = found.filter("times > 0").groupBy("doc_id").agg(F.avg("times").alias("times"))
