@@ -34,8 +34,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage, and fixes values that a recomputation could change, such as
     partition numbers. The copy outlives the session; whoever owns the shared
-    folder expires it.
+    folder expires it. It is compressed with zstd, as it is read only a few times.
     """
     path = run_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
