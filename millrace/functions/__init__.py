@@ -2,7 +2,7 @@
 
 from .event_time import from_instant, interval, micros, span_micros, to_instant
 from .money import TEN_THOUSANDTHS, amount, hundredths, net_price
-from .props import json_long
+from .props import with_json_longs
 
 __all__ = [
     "TEN_THOUSANDTHS",
@@ -10,9 +10,9 @@ __all__ = [
     "hundredths",
     "from_instant",
     "interval",
-    "json_long",
     "micros",
     "net_price",
     "span_micros",
     "to_instant",
+    "with_json_longs",
 ]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import amount, hundredths, json_long
+from ..functions import amount, hundredths, with_json_longs
 from ..sources import Tables
 
 
 def props_by_type(tables: Tables) -> DataFrame:
     """Count, sum and range of property ``k`` per event type."""
-    events = tables.events.select("event_type", json_long("props", "k").alias("k"))
+    events = with_json_longs(tables.events.select("event_type", "props"), "props", {"k": "k"})
     return events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count("k").alias("n_with_k"),
@@ -23,9 +23,8 @@ def props_by_type(tables: Tables) -> DataFrame:
 
 def value_by_prop(tables: Tables) -> DataFrame:
     """Events, purchases and total value per property ``k``."""
-    events = tables.events.select(
-        json_long("props", "k").alias("k"), "event_type", "value"
-    )
+    events = tables.events.select("event_type", "value", "props")
+    events = with_json_longs(events, "props", {"k": "k"})
     return events.groupBy("k").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("event_type") == "purchase").alias("n_purchases"),
@@ -35,7 +34,8 @@ def value_by_prop(tables: Tables) -> DataFrame:
 
 REPORTS = {"props_by_type": props_by_type, "value_by_prop": value_by_prop}
 
-_K = "try_cast(json_extract_string(props, '$.k') as bigint)"
+_TEXT = "json_extract_string(props, '$.k')"
+_K = f"case when regexp_full_match({_TEXT}, '-?[0-9]+') then try_cast({_TEXT} as bigint) end"
 
 SQL = {
     "props_by_type": f"""

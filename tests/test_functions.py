@@ -9,11 +9,11 @@ from millrace.functions import (
     amount,
     from_instant,
     hundredths,
-    json_long,
     micros,
     net_price,
     span_micros,
     to_instant,
+    with_json_longs,
 )
 
 TIMES = [
@@ -85,8 +85,39 @@ def test_every_cent_is_recovered_from_its_double(spark):
     assert wrong.count() == 0
 
 
-def test_json_long(spark):
-    texts = ['{"k": 5}', '{"k": "7"}', '{"k": "x"}', '{"j": 1}', "not json", None, '{"k": null}']
-    df = spark.createDataFrame([(t,) for t in texts], "props string")
-    values = [row.k for row in df.select(json_long("props", "k").alias("k")).collect()]
-    assert values == [5, 7, None, None, None, None, None]
+def test_json_longs(spark):
+    values = {
+        '{"k": 5}': 5,
+        '{"k": "7"}': 7,
+        '{"k": -0}': 0,
+        '{"k": 9223372036854775807}': 2**63 - 1,
+        '{"k": 9223372036854775808}': None,
+        '{"k": 1.5}': None,
+        '{"k": 1.0}': None,
+        '{"k": 1e2}': None,
+        '{"k": " 5"}': None,
+        '{"k": "x"}': None,
+        '{"k": [5]}': None,
+        '{"k": true}': None,
+        '{"k": null}': None,
+        '{"j": 1}': None,
+        '{"j": {"k": 1}}': None,
+        '{"k": 5': None,
+        '[{"k": 5}]': None,
+        "not json": None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in values], "props string")
+    rows = with_json_longs(df, "props", {"k": "k"}).collect()
+    assert {row.props: row.k for row in rows} == values
+
+
+def test_json_longs_of_several_fields(spark):
+    texts = ['{"a.b": 1, "c": 2, "a": {"b": 3}}', '{"c": 4}', None]
+    df = spark.createDataFrame([(t, n) for n, t in enumerate(texts)], "props string, n int")
+    found = with_json_longs(df, "props", {"x": "a.b", "y": "c"})
+    assert found.columns == ["props", "n", "x", "y"]
+    assert sorted(row[1:] for row in found.collect()) == [(0, 1, 2), (1, None, 4), (2, None, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("json_tuple") == 1
