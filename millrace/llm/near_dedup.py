@@ -281,7 +281,10 @@ def near_duplicates(
     signed = written(signatures(docs, words), "signatures")
     usable = signed.filter("doc_id is not null and set_key is not null")
 
+    # Written, so that a very large class is not tied to one task: adaptive execution can split the
+    # rows of a plain shuffle, but not those that meet an aggregate in the same stage.
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    classes = written(classes, "classes")
     copies = written(
         usable.join(classes, "set_key").select("doc_id", "first", "n_shingles"), "copies"
     )
