@@ -149,7 +149,8 @@ def packed(
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_inside")
     starts = counts.select("length", "_task", inside).join(longer, "length")
-    rows = rows.join(F.broadcast(starts), ["length", "_task"])
+    # Written, so that Spark knows its size: broadcast below the session's limit, else shuffled.
+    rows = rows.join(written(starts, "starts"), ["length", "_task"])
     return rows.select(
         "doc_id",
         "start",
