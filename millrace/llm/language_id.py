@@ -6,9 +6,11 @@ log2((T + d) / n) bits there; any other pays the escape log2((T + d) / d) and is
 context that is one byte shorter, down to a flat choice of 256. Bytes seen in a longer context
 are not excluded from the shorter ones. The language with the shortest code is predicted.
 
-As the statistics are frozen, the code length of a byte depends on the longest known context
-before it and on the byte alone. So the tree is laid out as tables of whole 1/65536 bits, and
-texts are scored by looking up arrays of bytes in them; sums of integers are exact.
+Every context of the training sample is kept, for every language. As the statistics are frozen, the
+code length of a byte depends on the bytes before it and on itself alone. So there is one row of
+costs, by language and in whole 1/65536 bits, for each string of up to ``order`` + 1 bytes seen in
+any language, found by a sorted key; sums of integers are exact. A language's costs do not depend
+on which other languages there are.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import written
 from .tables import even_sample
 from .wordhash import slices, small, text_buffers
 
 UNKNOWN = "und"
 _UNIT = 65536
+_LENGTH = 56  # bits of a gram below those that tell the length of its context
 _START = 0x20  # a text begins as if after spaces
 
 
@@ -33,20 +37,20 @@ _START = 0x20  # a text begins as if after spaces
 class LanguageModel:
     languages: list[str]
     order: int
-    symbols: np.ndarray  # byte -> symbol; 0 for bytes never seen in training
-    longer: np.ndarray  # order x (nodes * symbols): the node one byte longer, or the node itself
-    costs: np.ndarray  # (nodes * symbols) x languages: code length in 1/65536 bits
+    grams: list[np.ndarray]  # by length of context: context and byte as one integer, sorted
+    first: list[int]  # by length of context: the row of its first gram in costs
+    costs: np.ndarray  # grams x languages: code length in 1/65536 bits
+    contexts: list[np.ndarray]  # by length of context: the contexts, sorted
+    escapes: list[np.ndarray]  # contexts x languages: what a byte never seen there costs more
 
 
-def fit(
-    labelled: DataFrame, order: int = 4, texts_per_language: int = 1000, contexts: int = 8192
-) -> LanguageModel:
+def fit(labelled: DataFrame, order: int = 4, texts_per_language: int = 1000) -> LanguageModel:
     """Learn from ``labelled`` (doc_id, text, lang); null texts and languages are left out.
 
     The training sample is bounded: about ``texts_per_language`` rows of each language, drawn by
-    a hash of doc_id, each as a whole; repeated rows of one id are learned from together. Of all
-    contexts seen in them the ``contexts`` most frequent are kept, always with the shorter ones
-    below them. Runs jobs; with nothing to learn from the model has no language.
+    a hash of doc_id, each as a whole; repeated rows of one id are learned from together. All
+    contexts seen in them are kept. ``order`` is at most 6. Runs jobs; with nothing to learn from
+    the model has no language.
     """
     labelled = labelled.filter("text is not null")
     sample = even_sample(labelled, "lang", "doc_id", texts_per_language).select("lang", "text")
@@ -66,20 +70,23 @@ def fit(
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([lang] * len(keys), pa.string()),
-                                pa.array(np.full(len(keys), k, np.int32)),
-                                pa.array(keys >> 8),
-                                pa.array((keys & 255).astype(np.int32)),
+                                pa.array(keys | k << _LENGTH),
                                 pa.array(n.astype(np.int64)),
                             ],
-                            ["lang", "k", "context", "byte", "n"],
+                            ["lang", "gram", "n"],
                         )
 
-    schema = "lang string, k int, context bigint, byte int, n bigint"
-    counts = sample.mapInArrow(count, schema).groupBy("lang", "k", "context", "byte")
-    counts = counts.agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("k", "context").agg(F.sum("n").alias("total"))
-    kept = totals.orderBy(F.desc("total"), "k", "context").limit(contexts)
-    return _tables(counts.join(F.broadcast(kept), ["k", "context"]).toPandas(), order)
+    counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint")
+    counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    # One language at a time on the driver; each is bounded by the grams of its sample.
+    seen = []
+    for lang in languages:
+        rows = counts.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+        gram, n = (rows[c].to_numpy() for c in ("gram", "n"))
+        turn = np.argsort(gram)
+        seen.append((gram[turn], n[turn]))
+    return _tables(languages, seen, order)
 
 
 def _padded(
@@ -106,49 +113,43 @@ def _grams(buffer: np.ndarray, ends: np.ndarray, k: int, order: int) -> np.ndarr
     return total[text]
 
 
-def _tables(counts, order: int) -> LanguageModel:
-    languages = sorted(counts["lang"].unique())
-    seen = np.sort(counts["byte"].unique())
-    symbols = np.zeros(256, np.int32)
-    symbols[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
-    contexts = sorted(set(zip(counts["k"].tolist(), counts["context"].tolist())) | {(0, 0)})
-    node = {context: i for i, context in enumerate(contexts)}
-
-    longer = np.tile(np.repeat(np.arange(len(contexts), dtype=np.int32), size), (order, 1))
-    for k, context in contexts:
-        if k:
-            shorter = node.get((k - 1, context & ((1 << 8 * (k - 1)) - 1)))
-            if shorter is not None:
-                first = symbols[context >> 8 * (k - 1)]
-                longer[k - 1, shorter * size + first] = node[k, context]
-
-    costs = np.full((len(contexts), size, max(1, len(languages))), 8.0)
-    where = {lang: i for i, lang in enumerate(languages)}
-    groups = {
-        (k, context, where[lang]): (group["byte"].to_numpy(), group["n"].to_numpy(np.float64))
-        for (k, context, lang), group in counts.groupby(["k", "context", "lang"])
-    }
-    for at, (k, context) in enumerate(contexts):
-        below = None
-        if k:
-            below = node.get((k - 1, context & ((1 << 8 * (k - 1)) - 1)))
-        base = np.full((size, len(languages)), 8.0) if below is None else costs[below]
-        for lang in range(len(languages)):
-            cost = base[:, lang].copy()
-            if (k, context, lang) in groups:
-                byte, n = groups[k, context, lang]
-                total, kinds = n.sum(), len(n)
-                cost += np.log2((total + kinds) / kinds)
-                cost[symbols[byte]] = np.log2((total + kinds) / n)
-            costs[at, :, lang] = cost
-    flat = np.rint(costs.reshape(len(contexts) * size, -1) * _UNIT).astype(np.int32)
-    return LanguageModel(languages, order, symbols, longer, flat)
+def _tables(
+    languages: list[str], seen: list[tuple[np.ndarray, np.ndarray]], order: int
+) -> LanguageModel:
+    """``seen`` has the sorted grams of each language, marked by length, and their counts."""
+    every = np.unique(np.concatenate([np.zeros(0, np.int64), *(gram for gram, _ in seen)]))
+    costs = np.full((len(every), max(1, len(languages))), 8 * _UNIT, np.int32)
+    model = LanguageModel(languages, order, [], [], costs, [], [])
+    below, of_below, at = np.zeros(0, np.int64), np.zeros((0, costs.shape[1]), np.int32), 0
+    for k in range(order + 1):
+        end = int(np.searchsorted(every, (k + 1) << _LENGTH))
+        grams = every[at:end] - (k << _LENGTH)
+        contexts, context = np.unique(grams >> 8, return_inverse=True)
+        escapes = np.zeros((len(contexts), costs.shape[1]), np.int32)
+        shorter = np.searchsorted(below, grams & ((1 << 8 * k) - 1))
+        for lang, (gram, n) in enumerate(seen):
+            a, b = np.searchsorted(gram, [k << _LENGTH, (k + 1) << _LENGTH])
+            mine = np.searchsorted(every, gram[a:b])
+            total = np.bincount(context[mine - at], n[a:b], len(contexts))
+            kinds = np.bincount(context[mine - at], minlength=len(contexts))
+            known = kinds > 0
+            escape = np.log2((total[known] + kinds[known]) / kinds[known])
+            escapes[known, lang] = np.rint(escape * _UNIT)
+            # A byte this language did not see here escapes to its own shorter context.
+            costs[at:end, lang] = escapes[context, lang] + (of_below[shorter, lang] if k else 8 * _UNIT)
+            here = context[mine - at]
+            costs[mine, lang] = np.rint(np.log2((total + kinds)[here] / n[a:b]) * _UNIT)
+        model.grams.append(grams)
+        model.first.append(at)
+        model.contexts.append(contexts)
+        model.escapes.append(escapes)
+        below, of_below, at = grams, costs[at:end], end
+    return model
 
 
 def code_lengths(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code length of every row in every language, rows x languages, in 1/65536 bits."""
-    order, size = model.order, len(model.costs) // max(1, _nodes(model))
+    order, size = model.order, len(model.costs)
     result = np.zeros((len(offsets) - 1, model.costs.shape[1]), np.int64)
     for row, end in slices(offsets, 1 << 20):
         if offsets[end] - offsets[row] > 2 << 20:  # one very long text, in pieces
@@ -162,24 +163,40 @@ def code_lengths(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) ->
 
 
 def _nodes(model: LanguageModel) -> int:
-    return int(model.longer[-1][-1]) + 1
+    return sum(map(len, model.contexts))
 
 
-def _piece(model, size, data, offsets, before) -> np.ndarray:
+def _piece(model, _, data, offsets, before) -> np.ndarray:
     order = model.order
     buffer, ends = _padded(data, offsets, range(len(offsets) - 1), order)
     if before is not None and len(before):
         buffer[order - len(before) : order] = before
-    symbol = model.symbols[buffer]
-    node = np.zeros(len(buffer), np.int32)
-    for k in range(1, order + 1):
-        back = np.zeros(len(buffer), np.int32)
-        back[k:] = symbol[:-k]
-        node = model.longer[k - 1][node * size + back]
-    cost = model.costs[node * size + symbol]
-    begin = np.concatenate([[0], ends[:-1]])
-    cost[(begin[:, None] + np.arange(order)).ravel()] = 0  # the spaces before a text
-    return np.add.reduceat(cost, begin, axis=0, dtype=np.int64)
+    gram = _grams(buffer, ends, order, order)
+    cost = np.zeros((len(gram), model.costs.shape[1]), np.int32)
+    left = np.arange(len(gram))  # bytes not yet found behind a context
+    for k in range(order, -1, -1):
+        where, found = _find(model.grams[k], gram)
+        cost[left[found]] += model.costs[model.first[k] + where[found]]
+        left, gram = left[~found], gram[~found]
+        if not len(left):
+            break
+        where, found = _find(model.contexts[k], gram >> 8)
+        cost[left[found]] += model.escapes[k][where[found]]
+        gram = gram & ((1 << 8 * k) - 1)
+    cost[left] += 8 * _UNIT
+    sums = np.zeros((len(offsets), cost.shape[1]), np.int64)
+    texts = np.flatnonzero(np.diff(offsets))
+    if len(texts):
+        sums[texts] = np.add.reduceat(cost, (offsets[:-1] - offsets[0])[texts], axis=0, dtype=np.int64)
+    return sums[:-1]
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key is in sorted ``keys``, and whether it is there at all."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    where = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return where, keys[where] == asked
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

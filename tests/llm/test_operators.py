@@ -220,6 +220,43 @@ def test_language_of_held_out_rows(spark, awkward, nothing):
     assert language_id.predict(nothing, model).count() == 0
 
 
+def plain_bits(texts, text, order=4):
+    """Code length by the rule itself, from one language's texts."""
+    seen = defaultdict(Counter)
+    for one in texts:
+        data = b" " * order + one.encode()
+        for i, k in itertools.product(range(order, len(data)), range(order + 1)):
+            seen[data[i - k : i]][data[i]] += 1
+    bits, data = 0.0, b" " * order + text.encode()
+    for i in range(order, len(data)):
+        for k in range(order, -1, -1):
+            if found := seen.get(data[i - k : i]):
+                total, kinds = sum(found.values()), len(found)
+                if n := found[data[i]]:
+                    bits += np.log2((total + kinds) / n)
+                    break
+                bits += np.log2((total + kinds) / kinds)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_of_a_language_with_few_short_texts_are_exact(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, 150)), "big") for i in range(40)]
+    rows += [(100 + i, f"zqx vjk {i} qzw", "few") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["big", "few"]
+    asked = ["zqx vjk 1 qzw", "zqx", "qzw zqx é", rows[0][1][:300], ""]
+    data = np.frombuffer("".join(asked).encode(), np.uint8)
+    ends = np.cumsum([0, *(len(a.encode()) for a in asked)])
+    found = language_id.code_lengths(model, data, ends) / 65536
+    for lang, bits in zip(model.languages, found.T):
+        texts = [text for _, text, own in rows if own == lang]
+        assert np.allclose(bits, [plain_bits(texts, a) for a in asked], atol=0.01), lang
+
+
 def test_long_texts_are_scored_in_pieces_alike(spark):
     model = language_id.fit(documents(spark))
     data = np.frombuffer(b"the cat and the hat " * 150_000, np.uint8)
