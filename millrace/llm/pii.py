@@ -2,7 +2,8 @@
 for every mention of one entity.
 
 Found are e-mail addresses, IPv4 addresses, payment cards and other long digit groups, phone and
-social security numbers, IBANs, and names of persons after a title or a known given name.
+social security numbers, IBANs, and names of persons after a title or a known given name, with
+initials between. All other whole-word mentions of a name so found in a text are replaced too.
 
 Letters and digits are replaced by a keyed permutation of all strings of the entity's format
 (a ten-round Feistel network over the two halves), so two entities can't share a surrogate. Where a
@@ -59,7 +60,10 @@ _CLASS = {c: letters for letters in CLASSES for c in letters}
 
 _CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏЁА-Я"
 _SMALL = "a-zß-öø-ÿα-ωά-ώёа-я"
-_WORD = rf"[{_CAPITAL}][{_SMALL}]+(?:-[{_CAPITAL}][{_SMALL}]+)*"
+# Capitals and apostrophes may stand within: O'Brien, McDonald.
+_PART = rf"(?:[{_CAPITAL}]['’])?[{_CAPITAL}][{_SMALL}]+(?:['’]?[{_CAPITAL}][{_SMALL}]*)*"
+_WORD = rf"{_PART}(?:-{_PART})*"
+_INITIALS = rf"(?:[{_CAPITAL}](?:\.[ -]?| ))*"
 _MAIL = re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _NUMBER = re.compile(r"\d[\d ().-]*\d")
@@ -73,10 +77,13 @@ _PHONE = re.compile(
 )
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NAME = re.compile(rf"[{_CAPITAL}][{_SMALL}]+")
-_TITLED = re.compile(rf"\.? ({_WORD}(?: {_WORD})?)")
-_FAMILY = re.compile(rf" ({_WORD})")
+_TITLED = re.compile(rf"\.? ({_INITIALS})({_WORD})(?: ({_INITIALS})({_WORD}))?")
+_FAMILY = re.compile(rf" ({_INITIALS})({_WORD})")
+_LETTER = re.compile(rf"[{_CAPITAL}]")
+_WHOLE = re.compile(_WORD)
+_WITHIN = re.compile("[^-'’]+")
 _TITLE = {title for titles in TITLES.values() for title in titles}
-_RANK = ("email", "iban", "ipv4", "ssn", "card", "phone", "person", "family")
+_RANK = ("email", "iban", "ipv4", "ssn", "card", "phone", "person", "initial", "family")
 
 
 def luhn(digits: str) -> bool:
@@ -152,6 +159,8 @@ class Keyed:
             return f"{code} {self.permute(kind, rest)}"
         if kind == "person":
             return self._person(entity)
+        if kind == "initial":
+            return self._initial(entity)
         if kind == "family":
             return self.until(kind, entity, lambda x: x not in _GROUP)
         return self.permute(kind, entity)
@@ -165,6 +174,11 @@ class Keyed:
         shift = 1 + self._number("given|" + "|".join(_GROUP[word]), len(names) - 1)
         return names[(names.index(word) + shift) % len(names)]
 
+    def _initial(self, letter: str) -> str:
+        letters = _CLASS.get(letter, letter)
+        shift = 1 + self._number("initial|" + letters, len(letters) - 1) if len(letters) > 1 else 0
+        return letters[(letters.index(letter) + shift) % len(letters)]
+
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """Non-overlapping (start, end, kind, canonical form), by start."""
@@ -191,7 +205,42 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     for one in sorted(found, key=lambda x: (x[0], _RANK.index(x[2]), -x[1])):
         if not kept or one[0] >= kept[-1][1]:
             kept.append(one)
-    return kept
+    return _with_later(text, kept)
+
+
+def _with_later(
+    text: str, kept: list[tuple[int, int, str, str]]
+) -> list[tuple[int, int, str, str]]:
+    """Add all other whole-word mentions of the names in ``kept``, wherever they stand."""
+    names: dict[str, str] = {}
+    for _, _, kind, entity in kept:
+        if kind in ("person", "family"):
+            names.setdefault(entity, kind)
+    if not names:
+        return kept
+    found = []
+    for m in _WHOLE.finditer(text):
+        if text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum():
+            continue
+        word = _plain(m.group())
+        if word in names:
+            found.append((*m.span(), names[word], word))
+        else:  # Smith in Smith-Jones
+            parts = _WITHIN.finditer(text, *m.span())
+            found += [(*p.span(), names[p[0]], p[0]) for p in parts if p[0] in names]
+    merged, at, until = [], 0, 0
+    for one in found:
+        while at < len(kept) and kept[at][0] < one[1]:
+            merged.append(kept[at])
+            until = kept[at][1]
+            at += 1
+        if one[0] >= until:
+            merged.append(one)
+    return merged + kept[at:]
+
+
+def _plain(word: str) -> str:
+    return word.replace("’", "'")
 
 
 def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
@@ -211,16 +260,26 @@ def _persons(text: str, start: int, end: int, word: str) -> Iterator[tuple[int,
     if word in _GROUP:
         if family := _FAMILY.match(text, end):
             yield start, end, "person", word
-            yield *family.span(1), "family", family[1]
+            yield from _initials(text, *family.span(1))
+            yield *family.span(2), "family", _plain(family[2])
     elif named := _TITLED.match(text, end):
-        at = named.start(1)
-        for part in named[1].split(" "):
-            yield at, at + len(part), "person" if part in _GROUP else "family", part
-            at += len(part) + 1
+        for k in (1, 3):
+            if named[k + 1]:
+                yield from _initials(text, *named.span(k))
+                part = _plain(named[k + 1])
+                yield *named.span(k + 1), "person" if part in _GROUP else "family", part
+
+
+def _initials(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+    for m in _LETTER.finditer(text, start, end):
+        yield *m.span(), "initial", m.group()
 
 
 def _shaped(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate's digits or letters in the punctuation of this mention."""
+    if kind == "family" and "’" in mention:
+        marks = iter(c for c in mention if c in "'’")
+        return "".join(next(marks) if c == "'" else c for c in surrogate)
     if kind not in ("card", "phone", "ssn", "iban"):
         return surrogate
     rest = (c for c in surrogate if c.isalnum())

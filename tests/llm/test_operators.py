@@ -170,6 +170,34 @@ def test_surrogates_are_distinct_consistent_and_shaped():
     assert len({e for *_, kind, e in pii.mentions(text) if kind == "phone"}) == 1
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("John Smith came. Then Smith's dog left, and John too.", {"John": 2, "Smith": 2}),
+        ("Smith was here: Mr. Smith, of Smith-Jones", {"Smith": 3}),
+        ("Alice Miller asked. Alice replied.", {"Alice": 2, "Miller": 1}),
+        ("John A. Smith and John B. C. Smith", {"John": 2, "A": 1, "B": 1, "C": 1, "Smith": 2}),
+        ("Dr. J. R. Smith and John Q Smith", {"John": 1, "J": 1, "R": 1, "Q": 1, "Smith": 2}),
+        ("John O'Brien, or O’Brien", {"John": 1, "O'Brien": 2}),
+        ("Anna McDonald and Mrs McDonald", {"Anna": 1, "McDonald": 2}),
+        ("John Smith is no Smithson, nor Blacksmith or xSmith", {"John": 1, "Smith": 1}),
+        ("John Smith, John.Smith@x.org, Smith", {"John": 1, "Smith": 2, "John.Smith@x.org": 1}),
+    ],
+)
+def test_every_mention_of_a_name_has_its_surrogate(spark, text, names):
+    assert Counter(e for *_, e in pii.mentions(text)) == names
+    keyed, expected = pii.Keyed("k"), text
+    spans = pii.mentions(text)
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans))
+    for start, end, kind, entity in reversed(spans):
+        made = keyed.surrogate(kind, entity)
+        assert made != entity
+        made = made.replace("'", "’") if "’" in text[start:end] else made
+        expected = expected[:start] + made + expected[end:]
+    found = pii.replaced(spark.createDataFrame([(text,)], "text string"), "k").first()
+    assert (found.text, found.n_entities) == (expected, sum(names.values()))
+
+
 def test_surrogates_of_awkward_rows(awkward, nothing):
     found = pii.with_surrogates(awkward, "k")
     assert found.count() == 9 and found.filter("text is null and n_entities = 0").count() == 1
