@@ -44,18 +44,18 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take every document as often as the mix does, in whole passes: its taken words / its size.
+    """Take every row as often as the mix does, in whole passes: its taken words / its size.
 
-    Documents without words are in no mix and go.
+    Documents without words are in no mix and go. Rows that share an id, or have none, are each
+    taken for themselves, in the order of a hash of their texts.
     """
-    found = mixing.mixed(docs).select(
-        "doc_id", F.round(F.try_divide("taken", "size")).cast("int").alias("times")
+    # Numbers are written once, as they depend on how the rows are cut.
+    rows = docs.select(*COLUMNS).withColumn("_turn", F.xxhash64("text", "lang"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    times = mixing.mixed(rows, keep=("_turn", "_row")).select(
+        "_row", F.round(F.try_divide("taken", "size")).cast("int").alias("times")
     )
-    # Rows that repeat an id were served one by one; each of them gets the average.
-    times = found.filter("times > 0").groupBy("doc_id").agg(F.avg("times").alias("times"))
-    times = times.withColumn("times", F.ceil("times").cast("int"))
-    times = times.withColumnRenamed("doc_id", "_id")
-    copies = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    copies = rows.join(times.filter("times > 0"), "_row")
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*COLUMNS)
 

@@ -61,10 +61,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = PA
     return ordered.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(level)))
 
 
-def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Return ``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
 
-    ``docs`` has doc_id, text and source; other columns are ignored. size is the text's words, 0
+    ``docs`` has doc_id, text and source; other columns are ignored, but those in ``keep`` follow
+    in the result, and order the rows of one doc_id. size is the text's words, 0
     for a null or empty text, which is never taken. taken is how many words of the document the
     mix takes, repeats counted, at most three times its size, and is equal in every run; the
     words that a source takes differ from its target by less than one. Null is a source of its
@@ -72,7 +73,9 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     an empty result. Needs folder ``spark.checkpoint.dir``; runs jobs.
     """
     turn = F.xxhash64(F.lit(seed), "doc_id")
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), turn.alias("turn"))
+    sized = docs.select(
+        "doc_id", "source", word_count("text").alias("size"), turn.alias("turn"), *keep
+    )
     sized = written(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = written(targets(sums), "targets")
@@ -80,7 +83,7 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     # A source's words up to a document: the running total over all sources, less those before.
     placed = sized.withColumn("_last", F.col("source").isNull())
     placed = running_total(
-        placed, ["_last", "source", "turn", "doc_id", "size"], "size", "until"
+        placed, ["_last", "source", "turn", "doc_id", *keep, "size"], "size", "until"
     )
     placed = placed.withColumn("row", F.monotonically_increasing_id())
     placed = placed.join(
@@ -109,4 +112,5 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        *keep,
     )

@@ -344,3 +344,18 @@ def test_mixing_stage_keeps_rows_without_an_id(spark):
     kept = corpus_pipeline.mix(spark, docs, SMALL)
     assert kept.columns == corpus_pipeline.COLUMNS
     assert {r.doc_id for r in kept.collect()} == {None, 1}
+
+
+def test_mixing_stage_holds_targets_of_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    # By weight 5, 2 and 1 of 4000 words, b and c get less than they have, a takes more passes.
+    rows = [(None if i % 3 else 7, f"{s} {i} x y", "en", s, 9) for s, n in (("a", 200), ("b", 400), ("c", 400)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = Counter((r.source, r.text) for r in corpus_pipeline.mix(spark, docs, SMALL).collect())
+    targets = {r.source: r.target for r in mixing.mixed(docs).select("source", "target").distinct().collect()}
+    assert targets["b"] < 1600 and targets["c"] < 1600
+    for source, target in targets.items():
+        assert abs(4 * sum(n for (s, _), n in kept.items() if s == source) - target) <= 4
+    assert set(kept) <= {(r[3], r[1]) for r in rows}
+    assert max(n for (s, _), n in kept.items() if s != "a") == 1
