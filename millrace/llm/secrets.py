@@ -178,7 +178,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _rows_with_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which rows have a run of ``_LONG_RUN`` or more coded characters, or a key file's dashes."""
+    """Which rows have a run of ``_LONG_RUN`` or more coded characters."""
     if not len(data):
         return np.zeros(len(offsets) - 1, bool)
     coded = _CODED[data]
@@ -213,7 +213,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 plain = base_spans(text)
                 more = []
-                if run:
+                # Parts of tokens and lines of key files may be shorter.
+                if run or "eyJ" in text or "-----BEGIN " in text:
                     plain += hex_spans(text)
                     more = confirmed_spans(text)
                 kinds = [kind for kind, _, _ in plain]

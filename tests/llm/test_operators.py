@@ -92,6 +92,21 @@ def test_secrets_are_confirmed_by_structure():
     assert not secrets.is_der_key(der[:-1]) and not secrets.is_ssh_key(ssh + b"x")
 
 
+def test_secrets_without_a_long_run_are_scanned(spark):
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    token = f"{head}.{base64.urlsafe_b64encode(b'{}').decode().rstrip('=')}.c2ln"
+    number = b"\x02\x21\x00" + bytes(range(0x80, 0xA0))
+    body = b"\x02\x01\x00" + number * 5
+    coded = base64.b64encode(b"\x30\x81" + bytes([len(body)]) + body).decode()
+    lines = "\n".join(coded[i : i + 20] for i in range(0, len(coded), 20))
+    key = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+    rows = [(1, f"a {token} b"), (2, f"a {key} b"), (3, "eyJ -----BEGIN x"), (4, None)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.spans for r in found} == {
+        1: f"token:2:{2 + len(token)}", 2: f"pem_key:2:{2 + len(key)}", 3: "", 4: ""
+    }
+
+
 @pytest.mark.parametrize("listed", [64, 1])
 def test_near_duplicates_equal_all_pairs(spark, listed):
     docs = documents(spark).collect()
