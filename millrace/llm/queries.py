@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     fingerprints,
     impact_search,
     language_id,
@@ -24,10 +25,10 @@ from .tables import remainder, table
 PII_KEY = "surrogates-1"
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -124,6 +125,11 @@ def op10_weighted_fair_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(table(spark, root, "documents")).drop("source")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, root: str) -> DataFrame:
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.align_texts(table(spark, root, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_fingerprints,
         op10_weighted_fair_mix,
+        op11_cross_tokenizer_alignment,
     )
 }
 
