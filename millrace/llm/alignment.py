@@ -12,11 +12,13 @@ are shuffled, so that a pair that a third of the texts holds never meets in one
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +32,51 @@ LANE = 64
 HEAVY = 1 << 18
 _PIECE = 1 << 20
 _PASS_CHARS = 2 << 20
-_KEPT = 200_000
+_TOGETHER = 4096
+_KEPT = 300_000
 _KEPT_CHARS = 16 << 20
 
 # A space between two of these (none of them white space or a combining mark) always begins a
 # token of both kinds, so what lies between such spaces is tokenized for itself.
 _PLAIN = "[!-~¡-˿]"
 _GAP = re.compile(f" (?={_PLAIN})(?<={_PLAIN} )")
+_WORD = re.compile(f"{_PLAIN}+").fullmatch
+# Fixed value: how byte-level BPE cuts texts before it merges.
+_PRE_TOKENS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 
 class Ragged:
     """Rows of integers in one growing array."""
 
     def __init__(self) -> None:
-        self.flat, self.ends = np.zeros(1 << 16, np.int32), [0]
-
-    def append(self, row: list[int]) -> None:
-        at = self.ends[-1]
-        while at + len(row) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(row)] = row
-        self.ends.append(at + len(row))
-
-    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+        self.rows = 0
+
+    def extend(self, flat: np.ndarray, ends: np.ndarray) -> None:
+        """Add rows, one after the other in ``flat``, each up to its end."""
+        at, rows = int(self.ends[self.rows]), self.rows
+        self.flat = _with_room(self.flat, at + len(flat))
+        self.ends = _with_room(self.ends, rows + 1 + len(ends))
+        self.flat[at : at + len(flat)] = flat
+        self.ends[rows + 1 : rows + 1 + len(ends)] = at + ends
+        self.rows += len(ends)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen rows one after the other, and how long each is."""
-        ends = np.array(self.ends)
-        starts, counts = ends[which], ends[which + 1] - ends[which]
+        starts = self.ends[which]
+        counts = self.ends[which + 1] - starts
         begin = np.cumsum(counts) - counts
         return self.flat[np.repeat(starts - begin, counts) + np.arange(counts.sum())], counts
 
 
+def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+    while len(array) < size:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
+
+
 class TwoTokenizers:
     """Both tokenizations of chunks of text, which are remembered within a bound."""
 
@@ -71,9 +88,9 @@ class TwoTokenizers:
         self.a = Tokenizer.from_file(file_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        other = [b for b in range(256) if b not in plain]
-        byte = {chr(b) if b in plain else chr(256 + other.index(b)): b for b in range(256)}
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = [b for b in range(256) if b not in printable]
+        byte = {chr(b) if b in printable else chr(256 + other.index(b)): b for b in range(256)}
         self.bytes_a = [
             bytes(byte.get(c, 63) for c in self.a.id_to_token(i) or "")
             for i in range(self.a.get_vocab_size())
@@ -87,11 +104,25 @@ class TwoTokenizers:
         self.length_b = np.array([len(t) for t in self.bytes_b])
         # Where a piece may hold a space after something else, texts can't be cut at spaces.
         self.gap = None if any(" " in t.decode(errors="ignore").lstrip(" ") for t in self.bytes_b) else _GAP
+        self.quick = self._quick(file_a)
         self.forget()
 
+    def _quick(self, file_a: str):
+        """The same byte-level BPE in another library, where merges come in the order of ids."""
+        import tiktoken
+
+        with open(file_a) as opened:
+            merges = json.load(opened)["model"]["merges"]
+        parts = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges)
+        if any(self.a.id_to_token(256 + n) != part for n, part in enumerate(parts)):
+            return None
+        ranks = {t: i for i, t in enumerate(self.bytes_a[: 256 + len(merges)])}
+        return tiktoken.Encoding("a", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids_a, self.ids_b, self.exact = Ragged(), Ragged(), []
+        self.ids_a, self.ids_b = Ragged(), Ragged()
+        self.inexact: set[int] = set()
         self.held = 0
 
     def chunks(self, text: str) -> list[str]:
@@ -99,26 +130,55 @@ class TwoTokenizers:
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk; chunks not known yet are tokenized first."""
-        found = list(map(self.known.get, chunks))
-        new = list(dict.fromkeys(c for c, n in zip(chunks, found) if n is None))
-        if new:
-            a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-            b = self.b.encode(new, num_threads=1)
-            for chunk, left, right in zip(new, a, b):
-                left = left.ids
-                whole = (" " + chunk).encode()
-                self.exact.append(self.joined_a(left) == whole == self.joined_b(right))
-                self.ids_a.append(left), self.ids_b.append(right)
-                self.known[chunk] = len(self.known)
-                self.held += len(chunk)
-            found = list(map(self.known.__getitem__, chunks))
-        return np.array(found, np.int64)
+        new = list(set(chunks).difference(self.known))
+        together = [c for c in new if _WORD(c)] if self.gap and self.quick else []
+        single = [c for c in new if not _WORD(c)] if together else new
+        for at in range(0, len(together), _TOGETHER):
+            block = together[at : at + _TOGETHER]
+            if not self._learn_together(block):
+                self._learn_each(block)
+        self._learn_each(single)
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def _learn_together(self, chunks: list[str]) -> bool:
+        """Tokenize chunks as one text; False where its tokens are not its bytes."""
+        text = " ".join(chunks)
+        whole = (" " + text).encode()
+        a, b = self.quick.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+        if not self.joined_a(a) == whole == self.joined_b(b):
+            return False
+        sizes = [len(c) for c in chunks] if len(whole) == len(text) + 1 else [len(c.encode()) for c in chunks]
+        until = np.cumsum(np.array(sizes) + 1)
+        for ids, length, rows in ((a, self.length_a, self.ids_a), (b, self.length_b, self.ids_b)):
+            ids = np.array(ids, np.int32)
+            rows.extend(ids, np.searchsorted(np.cumsum(length[ids]), until) + 1)
+        self._remember(chunks)
+        return True
+
+    def _learn_each(self, chunks: list[str]) -> None:
+        if not chunks:
+            return
+        a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
+        a, b = [x.ids for x in a], self.b.encode(chunks, num_threads=1)
+        first = len(self.known)
+        for n, (chunk, left, right) in enumerate(zip(chunks, a, b)):
+            if not self.joined_a(left) == (" " + chunk).encode() == self.joined_b(right):
+                self.inexact.add(first + n)
+        for ids, rows in ((a, self.ids_a), (b, self.ids_b)):
+            flat = np.array(list(chain.from_iterable(ids)), np.int32)
+            rows.extend(flat, np.cumsum([len(x) for x in ids]))
+        self._remember(chunks)
+
+    def _remember(self, chunks: list[str]) -> None:
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.held += sum(map(len, chunks))
 
     def joined_a(self, ids) -> bytes:
-        return b"".join([self.bytes_a[i] for i in ids])
+        return b"".join(map(self.bytes_a.__getitem__, ids))
 
     def joined_b(self, ids) -> bytes:
-        return b"".join([self.bytes_b[i] for i in ids])
+        return b"".join(map(self.bytes_b.__getitem__, ids))
 
     def bound(self) -> None:
         if len(self.known) > _KEPT or self.held > _KEPT_CHARS:
@@ -158,15 +218,14 @@ def lockstep(
     return one(links_a), one(links_b), np.sort(one(cuts_a)), np.sort(one(cuts_b))
 
 
-_DIGITS = 6
-
-
-def _digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal digits of every id, most significant first, and how many there are."""
-    counts = np.maximum(1, (ids[:, None] >= 10 ** np.arange(1, _DIGITS)).sum(axis=1) + 1)
-    power = counts[:, None] - 1 - np.arange(_DIGITS)
-    digits = ids[:, None] // 10 ** np.maximum(power, 0) % 10 + 48
-    return digits.astype(np.uint8), counts
+@lru_cache(maxsize=4)
+def _digits(largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of all numbers below a power of ten, one row per place, and how many there are."""
+    places = len(str(largest))
+    numbers = np.arange(10**places)
+    counts = np.maximum(1, sum(numbers >= 10**k for k in range(places)))
+    power = counts - 1 - np.arange(places)[:, None]
+    return (numbers // 10 ** np.maximum(power, 0) % 10 + 48).astype(np.uint8), counts
 
 
 def group_text(
@@ -183,16 +242,19 @@ def group_text(
     earlier_b = np.concatenate([[0], cuts_b + 1])
     place_a = np.arange(n_a) + earlier_b[group_a]
     place_b = np.arange(n_b) + (cuts_a + 1)[group_b]
-    ids, sign = np.empty(n_a + n_b, np.int64), np.empty(n_a + n_b, np.uint8)
+    ids, sign = np.empty(n_a + n_b, np.int32), np.empty(n_a + n_b, np.uint8)
     ids[place_a], ids[place_b] = ids_a, ids_b
     sign[place_a] = np.where(ends_a, ord("|"), ord(","))
     sign[place_b] = np.where(ends_b, ord(";"), ord(","))
-    digits, counts = _digits(ids)
+    digits, counts = _digits(int(ids.max()))
+    counts = counts[ids]
     ends = np.cumsum(counts + 1)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(_DIGITS):
-        has = counts > k
-        out[(ends - counts - 1 + k)[has]] = digits[has, k]
+    out = np.empty(int(ends[-1]), np.uint8)
+    at = ends - counts - 1
+    out[at] = digits[0][ids]
+    for k in range(1, len(digits)):
+        more = np.flatnonzero(counts > k)
+        out[at[more] + k] = digits[k][ids[more]]
     out[ends - 1] = sign
     return out.tobytes(), ends[place_b[cuts_b]]
 
@@ -223,8 +285,8 @@ def _pieces(tokenizers: TwoTokenizers, text: str) -> Iterator[str]:
 def _same_bytes(tokenizers: TwoTokenizers, text: str, numbers: np.ndarray) -> bool:
     """Whether a text's joined tokens are its bytes, where a chunk of it is not exact."""
     whole = (" " + text).encode()
-    a, _ = tokenizers.ids_a.rows(numbers)
-    b, _ = tokenizers.ids_b.rows(numbers)
+    a, _ = tokenizers.ids_a.take(numbers)
+    b, _ = tokenizers.ids_b.take(numbers)
     return tokenizers.joined_a(a) == whole == tokenizers.joined_b(b)
 
 
@@ -236,10 +298,9 @@ def _align(tokenizers: TwoTokenizers, units: list[tuple[_Document, str]]) -> Non
         chunks += parts
         sizes.append(len(parts))
     numbers = tokenizers.learn(chunks)
-    exact = np.array(tokenizers.exact, bool)[numbers]
     ends = np.cumsum(sizes)
-    inexact = np.add.reduceat(~exact, ends - sizes) > 0
-    for k in np.flatnonzero(inexact):
+    odd = np.isin(numbers, list(tokenizers.inexact)) if tokenizers.inexact else np.zeros(0, bool)
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right")):
         own = numbers[ends[k] - sizes[k] : ends[k]]
         if not _same_bytes(tokenizers, units[k][1], own):
             units[k][0].open = False
@@ -248,8 +309,8 @@ def _align(tokenizers: TwoTokenizers, units: list[tuple[_Document, str]]) -> Non
         return
     numbers = np.concatenate([numbers[ends[k] - sizes[k] : ends[k]] for k in alive])
     chunk_ends = np.cumsum([sizes[k] for k in alive])
-    ids_a, counts_a = tokenizers.ids_a.rows(numbers)
-    ids_b, counts_b = tokenizers.ids_b.rows(numbers)
+    ids_a, counts_a = tokenizers.ids_a.take(numbers)
+    ids_b, counts_b = tokenizers.ids_b.take(numbers)
     until_a, until_b = np.cumsum(counts_a)[chunk_ends - 1], np.cumsum(counts_b)[chunk_ends - 1]
     end_a, end_b = np.cumsum(tokenizers.length_a[ids_a]), np.cumsum(tokenizers.length_b[ids_b])
 
