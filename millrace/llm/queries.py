@@ -12,12 +12,14 @@ from . import (
     fingerprints,
     impact_search,
     language_id,
+    licenses,
     mixing,
     near_dedup,
     packing,
     pii,
     revisits,
     secrets,
+    spelling,
     toxicity,
 )
 from .tables import remainder, table
@@ -130,6 +132,14 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, root: str) -> DataFrame:
     return alignment.align_texts(table(spark, root, "documents"), *files)
 
 
+def op12_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -144,11 +154,108 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_fingerprints,
         op10_weighted_fair_mix,
         op11_cross_tokenizer_alignment,
+        op12_license_scan,
+        op13_spelling_variants,
     )
 }
 
 _URL = r"regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
 
+
+
+def _values(rows: list[tuple]) -> str:
+    return "values " + ", ".join(
+        "(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in row) + ")"
+        for row in rows
+    )
+
+
+def _license_sql(templates: list[licenses.Template]) -> str:
+    """The scan over tables of words, postings and key phrases."""
+    every = [*enumerate(templates)]
+    kinds = [(k, t.label, t.base, t.slack, len(t.words), len(t.keys)) for k, t in every]
+    postings = [(k, i, w) for k, t in every for i, w in enumerate(t.words)]
+    keys = [
+        (k, p, at + j, w, len(phrase))
+        for k, t in every
+        for p, (at, phrase) in enumerate(t.keys)
+        for j, w in enumerate(phrase)
+    ]
+    return rf"""
+        with kinds(tid, label, base, slack, n, phrases) as ({_values(kinds)}),
+        postings(tid, i, word) as ({_values(postings)}),
+        keys(tid, phrase, i, word, n) as ({_values(keys)}),
+        docs as materialized (
+            select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+                lambda w: w <> '') as words
+            from documents
+        ),
+        places as (
+            select rid, unnest(words) as word, generate_subscripts(words, 1) - 1 as i from docs
+        ),
+        present as (
+            select distinct rid, word from places where word in (select word from postings)
+        ),
+        frequency as (select word, count(*) as n from present group by word),
+        needed as (select tid, word, count(*) over (partition by tid) as n
+            from (select distinct tid, word from keys)),
+        alive as (
+            select rid, tid from needed join present using (word)
+            group by rid, tid having count(*) = any_value(n)
+        ),
+        anchors as (
+            select rid, tid, word from (
+                select rid, tid, word,
+                    row_number() over (partition by rid, tid order by f.n, word) as nth
+                from alive join (select distinct tid, word from postings) using (tid)
+                join present using (rid, word) join frequency f using (word)
+            ) where nth <= {licenses.ANCHORS}
+        ),
+        votes as (
+            select distinct a.rid, a.tid, a.word, p.i - t.i as pos
+            from anchors a join places p using (rid, word)
+            join postings t on t.tid = a.tid and t.word = a.word
+        ),
+        candidates as (
+            select rid, tid, pos from votes group by all having count(*) >= {licenses.AGREEING}
+        ),
+        shifts as (select tid, unnest(range(-slack, slack + 1)) as d from kinds),
+        stand as (
+            select c.rid, c.tid, c.pos, k.phrase, s.d
+            from candidates c join keys k using (tid) join shifts s using (tid)
+            join places p on p.rid = c.rid and p.i = c.pos + s.d + k.i and p.word = k.word
+            group by all having count(*) = any_value(k.n)
+        ),
+        found as (
+            select rid, tid, pos from stand join kinds using (tid) group by all
+            having count(distinct phrase) = any_value(phrases)
+        ),
+        shares as (
+            select f.rid, f.tid, f.pos, count(p.i) as there
+            from found f join postings t using (tid)
+            left join places p on p.rid = f.rid and p.i = f.pos + t.i and p.word = t.word
+            group by all
+        ),
+        result as (
+            select rid,
+                count(*) filter (base) as n_base,
+                min(pos) filter (base) as first_word,
+                max(pos) filter (base) as last_word,
+                array_to_string(list_sort(list_distinct(list(label) filter (base))), ',') as base_labels,
+                array_to_string(list_sort(list_distinct(list(label))), ',') as labels,
+                max(there / (n::double * case when base then 2 else 1 end)) as score
+            from shares join kinds using (tid) group by rid
+        )
+        select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
+            first_word::bigint as first_word, last_word::bigint as last_word,
+            coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+            coalesce(score, 0)::double as score
+        from docs left join result using (rid)
+    """
+
+
 SQL: dict[str, str] = {
     "op3_warc_revisits": rf"""
         with plain as (select *, {_URL} as u from pages),
@@ -226,4 +333,81 @@ SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from ranked where rank <= 10
     """,
+    "op12_license_scan": _license_sql(licenses.TEMPLATES),
+    "op13_spelling_variants": """
+        with recursive crc as (
+            select list(case when false then 0 else c end order by i) as t from (
+                select i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+                    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+                from (select unnest(range(256)) as i)
+            )
+        ),
+        runs as (
+            select doc_id, run, count(*) as times from (
+                select doc_id, unnest(regexp_extract_all(translate(text,
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[a-zÀ-ÿ]+')) as run
+                from documents
+            ) group by all
+        ),
+        coded as (
+            select run, times, flatten(list_transform(
+                string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+                lambda x: case when unicode(x) < 128 then [unicode(x)::bigint]
+                    else [(192 | (unicode(x) >> 6))::bigint, (128 | (unicode(x) & 63))::bigint] end
+            )) as bytes
+            from runs
+        ),
+        hashed as (
+            select run, times, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+            from coded, crc
+        ),
+        dealt as (
+            select times, case when h % 97 = 0
+                then substring(run, 1, (h % length(run))::bigint)
+                    || substring(run, (h % length(run))::bigint + 2)
+                else run end as word
+            from hashed
+        ),
+        words as (
+            select word, sum(times)::bigint as n from dealt
+            where length(word) >= 5 group by word having sum(times) >= 3
+        ),
+        places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+        holes as (
+            select word, n, substring(word, 1, i - 1) || '_' || substring(word, i + 1) as hole
+            from places
+        ),
+        shorter as (
+            select distinct word, n, substring(word, 1, i - 1) || substring(word, i + 1) as other
+            from places
+        ),
+        less as (select s.word, s.n, other, w.n as other_n from shorter s join words w on other = w.word),
+        near as (
+            select a.word, a.n, b.word as other, b.n as other_n
+            from holes a join holes b on a.hole = b.hole and a.word <> b.word
+            union all select * from less
+            union all select other, other_n, word, n from less
+        ),
+        best as (
+            select *, count(*) over (partition by word) as n_near,
+                row_number() over (partition by word order by other_n desc, other) as nth
+            from near
+        ),
+        formed as (
+            select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+                case when other_n >= 2 * w.n then other end as form,
+                case when other_n >= 2 * w.n then other_n end as form_n
+            from words w left join (from best where nth = 1) b on w.word = b.word
+        ),
+        path as (
+            select word, word as at from formed
+            union all select p.word, f.form from path p join formed f on p.at = f.word
+            where f.form is not null
+        )
+        select f.word, f.form, p.at as root, f.n, f.n_near, f.form_n
+        from formed f join path p on f.word = p.word
+        join formed e on p.at = e.word and e.form is null
+    """,
 }

@@ -1,0 +1,112 @@
+"""The license scan against its SQL and against plain phrase search, on planted and awkward texts."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from millrace.llm import licenses, queries
+
+NOTICES = {t.label: t.text for t in licenses.NOTICES if t.slack}
+
+
+def compare(spark, folder):
+    connection = duckdb.connect()
+    files = "documents.parquet/*.parquet" if Path(f"{folder}/documents.parquet").is_dir() else "documents.parquet"
+    connection.execute(f"create view documents as select * from read_parquet('{folder}/{files}')")
+    expected = connection.sql(queries.SQL["op12_license_scan"]).to_arrow_table()
+    actual = queries.op12_license_scan(spark, str(folder)).toArrow()
+    names = sorted(expected.column_names)
+    assert names == sorted(actual.column_names)
+    assert [str(expected.schema.field(c).type) for c in names] == [
+        str(actual.schema.field(c).type).replace("large_", "") for c in names
+    ]
+    a, b = (Counter(zip(*(t[c].to_pylist() for c in names))) for t in (actual, expected))
+    assert a == b, ((a - b).most_common(3), (b - a).most_common(3))
+    return {r["doc_id"]: r for r in actual.to_pylist()}
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Whole notices, notices with inserted and changed words, phrases that touch the ends, decoys."""
+    mit = NOTICES["mit"]
+    texts = [
+        f"Some program.\n\n{mit}.\nmore",
+        mit.replace("obtaining a copy", "who is obtaining a copy"),
+        mit.replace("hereby", "not"),
+        mit.replace("to deal", "and whoever else reads these lines of ours, be it now or later, to deal"),
+        *NOTICES.values(),
+        " ".join(NOTICES.values()),
+        "MIT License",
+        "the MIT-license / Mit licensed, mit\x00LICENSE mit ǅ license",
+        "GNU General Public License, version 3. general public general public license",
+        "this work is licensed under CC BY-NC 4.0.",
+        "permission copy modify software the of and to license public general free",
+        "license mit " * 400 + "apache " * 300 + "apache license",
+        "İMIT license MITİ license É mit license",
+        None,
+        "",
+        "...",
+    ]
+    folder = tmp_path_factory.mktemp("planted")
+    rows = [*enumerate(texts)] + [(None, "Apache License"), (4, "mit license"), (4, "mit license")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder, texts
+
+
+def test_planted_texts_equal_sql(spark, planted):
+    folder, texts = planted
+    found = compare(spark, folder)
+    assert found[0]["labels"] == "mit" and found[0]["base_labels"] == "" and found[0]["score"] == 1
+    assert found[1]["labels"] == "mit" and 0 < found[1]["score"] < 1
+    assert found[2]["labels"] == found[3]["labels"] == ""
+    together = set(",".join(found[4 + k]["labels"] for k in range(len(NOTICES))).split(","))
+    assert {*NOTICES} <= together == {*found[4 + len(NOTICES)]["labels"].split(",")}
+    assert found[len(texts) - 3]["n_words"] == 0 and found[len(texts) - 3]["first_word"] is None
+
+
+def test_base_places_equal_plain_search(spark, planted):
+    folder, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet", "/root/testdata/sf0.001/documents.parquet")
+    docs = docs.select("doc_id", "text")
+    scanned = licenses.scan(docs).collect()
+    expected = []
+    for row in docs.collect():
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), row.text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        at, labels = [], set()
+        for t in licenses.BASE:
+            phrase = t.text.split()
+            own = [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+            at += own
+            labels |= {t.label} if own else set()
+        expected.append(
+            (row.doc_id, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+        )
+    assert Counter(tuple(r)[:6] for r in scanned) == Counter(expected)
+
+
+def test_whole_table_equals_sql(spark):
+    found = compare(spark, "/root/testdata/sf0.001")
+    assert len(found) == 200
+
+
+def test_awkward_and_empty_tables(spark, awkward, nothing):
+    rows = licenses.scan(awkward).collect()
+    assert len(rows) == 9 and all(r.n_base == 0 and r.labels == "" and r.score == 0 for r in rows)
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_templates_need_two_words():
+    with pytest.raises(ValueError):
+        licenses.Template("x", "license license")
+
+
+def test_no_python_in_the_plan(spark):
+    plan = queries.op12_license_scan(spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().toString()
+    assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
