@@ -13,6 +13,7 @@ import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -40,7 +41,7 @@ class ChunkIds(dict):
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those
     of its chunks, one after the other. The first ``_KEPT`` chunks are remembered; being met
-    first, they are mostly the frequent ones.
+    first, they are mostly the frequent ones. So are lower-case words, which many chunks share.
     """
 
     def __init__(self, file: str) -> None:
@@ -50,6 +51,7 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self._encode(chunk)
@@ -63,9 +65,13 @@ class ChunkIds(dict):
             # Latin letters are one piece for the vocabulary, whatever stands after them.
             low = core.lower()
             if low.isalpha():
-                written = low if low.isascii() else "".join(_BYTE[b] for b in low.encode())
-                ids = [token.id for token in self.model.tokenize(written)]
-                return _bytes(ids) + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+                ids = self.words.get(low)
+                if ids is None:
+                    written = low if low.isascii() else "".join(_BYTE[b] for b in low.encode())
+                    ids = _bytes([token.id for token in self.model.tokenize(written)])
+                    if len(self.words) < _KEPT and len(low) <= _LONG_CHUNK:
+                        self.words[low] = ids
+                return ids + self[chunk[len(core) :]] if len(core) < len(chunk) else ids
         return _bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def of(self, text: str) -> bytes:
@@ -73,6 +79,12 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+@lru_cache(maxsize=1)
+def _chunk_ids(file: str) -> ChunkIds:
+    """One per Python worker, so that its tasks share what is remembered."""
+    return ChunkIds(file)
+
+
 def _bytes(ids: list[int]) -> bytes:
     found = array("I", ids)
     if sys.byteorder == "big":
@@ -97,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = LONGEST) -> DataFrame
     """The pieces of every text, with the task that cut them and their place in it by length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task = ChunkIds(tokenizer), TaskContext.get().partitionId()
+        known, task = _chunk_ids(tokenizer), TaskContext.get().partitionId()
         places: Counter[int] = Counter()
         for batch in small(batches):
             rows: list[tuple] = []
