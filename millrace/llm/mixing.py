@@ -2,9 +2,11 @@
 
 Every source is a flow whose weight is its target, and serves its documents in shuffled order,
 up to three times over. A pass over a document finishes at the virtual time (words its source
-has served until then) / target. Sorted by that time over all sources, and cut at the total
-budget, the queue holds each source's target, as all of them reach it at virtual time 1. The
-document that a source is serving at time 1 is cut there.
+has served until then) / target. All passes are queued with all their words, sorted by that time over
+all sources, and the queue is cut where the running total reaches the budget, in what is being served
+then. Sources reach their targets at virtual time 1, mostly amid a document. That one pass of a source is
+queued in ``PACKETS`` parts, each with a finish time of its own, so what a source takes differs
+from its target by about a part, and not by a whole document.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from .ranges import running_total
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
+PACKETS = 64
 
 
 def word_count(column: str):
@@ -67,44 +70,46 @@ def mixed(docs: DataFrame, seed: int = 10, keep: tuple[str, ...] = ()) -> DataFr
     ``docs`` has doc_id, text and source; other columns are ignored, but those in ``keep`` follow
     in the result, and order the rows of one doc_id. size is the text's words, 0
     for a null or empty text, which is never taken. taken is how many words of the document the
-    mix takes, repeats counted, at most three times its size, and is equal in every run; the
-    words that a source takes differ from its target by less than one. Null is a source of its
-    own. Equal rows are served one after the other, each with its own taken. An empty table gives
+    mix takes, repeats counted, at most three times its size, and is equal in every run; all
+    together are the budget, the sum of all sizes. Null is a source of its own. Documents are shuffled by a
+    hash of id and text, so rows without an id are too. Equal rows are served one after the other, each
+    with its own taken. An empty table gives
     an empty result. Needs folder ``spark.checkpoint.dir``; runs jobs.
     """
-    turn = F.xxhash64(F.lit(seed), "doc_id")
+    turn = F.xxhash64(F.lit(seed), "doc_id", "text")
     sized = docs.select(
         "doc_id", "source", word_count("text").alias("size"), turn.alias("turn"), *keep
     )
-    sized = written(sized, "sizes")
+    # Numbers tell equal rows apart, so that any number of them can be cut into ranges.
+    sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = written(targets(sums), "targets")
 
     # A source's words up to a document: the running total over all sources, less those before.
     placed = sized.withColumn("_last", F.col("source").isNull())
     placed = running_total(
-        placed, ["_last", "source", "turn", "doc_id", *keep, "size"], "size", "until"
+        placed, ["_last", "source", "turn", "doc_id", *keep, "size", "row"], "size", "until"
     )
-    placed = placed.withColumn("row", F.monotonically_increasing_id())
     placed = placed.join(
         shares.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
     )
     placed = written(
         placed.withColumn("until", F.col("until") - F.col("before")).drop("_last", "_source"), "placed"
     )
-    # Passes that begin before virtual time 1; the last one of a source is cut there.
-    quota = F.floor("target")
-    again = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
-    start = F.col("pass") * F.col("source_size") + F.col("until") - F.col("size")
-    again = again.withColumn("words", F.least(F.col("size"), quota - start)).filter("words > 0")
-    finish = (start + F.col("words")) / F.col("target")
-    queue = again.select("row", "place", "turn", "pass", "words", finish.alias("finish"))
-    queue = running_total(queue, ["finish", "place", "turn", "row", "pass"], "words", "served")
+    queue = placed.filter("size > 0")
+    queue = queue.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
+    end = F.col("pass") * F.col("source_size") + F.col("until")
+    at_one = (end > F.col("target")) & (end - F.col("size") < F.col("target"))
+    parts = F.when(at_one, F.least(F.col("size"), F.lit(PACKETS))).otherwise(1).cast("int")
+    queue = queue.withColumn("parts", parts).withColumn("end", end)
+    queue = queue.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    until, before = (F.floor(F.col("size") * k / F.col("parts")) for k in (F.col("part"), F.col("part") - 1))
+    finish = (F.col("end") - F.col("size") + until) / F.col("target")
+    queue = queue.select("row", "place", "turn", (until - before).alias("words"), finish.alias("finish"))
+    queue = running_total(queue, ["finish", "place", "turn", "row"], "words", "served")
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    over = F.greatest(F.lit(0), F.col("served") - F.lit(budget))
-    served = queue.groupBy("row").agg(
-        F.sum(F.greatest(F.lit(0), F.col("words") - over)).alias("taken")
-    )
+    left = F.lit(budget) - F.col("served") + F.col("words")
+    served = queue.filter(left > 0).groupBy("row").agg(F.sum(F.least("words", left)).alias("taken"))
     return placed.join(served, "row", "left").select(
         "doc_id",
         "source",

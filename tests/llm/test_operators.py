@@ -336,7 +336,9 @@ def test_mixing_meets_targets(spark, awkward, nothing):
         for rows in by.values():
             assert sum(r.size for r in rows) == rows[0].source_size
             assert rows[0].target <= 3 * rows[0].source_size + 1e-6
-            assert abs(sum(r.taken for r in rows) - rows[0].target) < 1
+            # About a part of the document that the source serves at the end.
+            part = max(r.size for r in rows) / mixing.PACKETS + 2
+            assert abs(sum(r.taken for r in rows) - rows[0].target) <= 2 * part
         assert abs(sum(rows[0].target for rows in by.values()) - total) < 1e-3
     assert mixing.mixed(nothing).count() == 0
 
