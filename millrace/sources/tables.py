@@ -33,13 +33,15 @@ SCHEMAS = {
 }
 
 
+_CHECKED: set[tuple[str, str]] = set()
+
+
 class Tables:
     """Named tables below one folder, read lazily: ``Tables(spark, root).orders``."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        self._checked: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -51,13 +53,17 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
     def _check(self, name: str) -> None:
-        """Refuse files that lack a declared column, which would otherwise read as null."""
-        if name not in self._checked:
+        """Refuse files that lack a declared column, which would otherwise read as null.
+
+        A footer is read once per application and path.
+        """
+        key = (self.spark.sparkContext.applicationId, self.path(name))
+        if key not in _CHECKED:
             there = set(self.spark.read.parquet(self.path(name)).columns)
             declared = [field.split()[0] for field in SCHEMAS[name].split(", ")]
             if missing := [column for column in declared if column not in there]:
                 raise ValueError(f"{self.path(name)} has no column {', '.join(missing)}")
-            self._checked.add(name)
+            _CHECKED.add(key)
 
 
 class CatalogTables:

@@ -10,7 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from millrace.session import session  # noqa: E402
 
-TESTDATA = Path("/root/testdata")
 NO_UI = {"spark.ui.enabled": "false"}
 WAREHOUSE = {"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-")}
 

@@ -6,7 +6,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import TESTDATA
+from compare import TESTDATA
 from pyspark.sql import functions as F
 
 from millrace.functions import hundredths, interval

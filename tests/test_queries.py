@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import assert_same, duckdb_tables
-from conftest import TESTDATA
+from compare import TESTDATA, assert_same, duckdb_tables
 
 from millrace.plans import QUERIES, SQL
 

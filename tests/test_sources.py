@@ -1,8 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import assert_same, duckdb_tables
-from conftest import TESTDATA
+from compare import TESTDATA, assert_same, duckdb_tables
 from pyspark.sql import functions as F
 
 from millrace.plans import REPORTS, SQL

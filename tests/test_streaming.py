@@ -236,7 +236,7 @@ def test_table_may_be_a_folder(spark, out_of_order):
 
 def test_a_late_event_is_told_after_more_than_a_hundred_batches(spark, feed):
     files = [[event(i, 60 * i)] for i in range(104)]
-    files[3] = [event(3, 0)]
+    files[4] = [event(4, 0)]  # the batch before began with a watermark past its window
     build = lambda stream: hourly(stream, timedelta(minutes=1))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")  # a batch is quicker so
@@ -248,7 +248,9 @@ def test_a_late_event_is_told_after_more_than_a_hundred_batches(spark, feed):
 
 
 def test_a_late_event_before_a_lost_driver_is_told(spark, feed, tmp_path):
-    path = feed([event(1, 0)], [event(2, 600)], [event(3, 1)], [event(4, 700)])
+    path = feed(
+        [event(1, 0)], [event(2, 600)], [event(5, 601)], [event(3, 1)], [event(4, 700)]
+    )
     build = lambda stream: hourly(stream, timedelta(minutes=1))
     given = dict(close_after=timedelta(hours=3), files_per_batch=1, folder=str(tmp_path / "run"))
     for _ in range(2):
@@ -256,6 +258,18 @@ def test_a_late_event_before_a_lost_driver_is_told(spark, feed, tmp_path):
             replay(spark, path, build, "again", **given)
 
 
+def test_an_event_in_the_batch_after_the_watermark_moved_still_counts(spark, feed):
+    # Rows are late by the watermark that the batch before began with.
+    path = feed([event(1, 0)], [event(2, 600)], [event(3, 1)], [event(4, 700)])
+    build = lambda stream: hourly(stream, timedelta(minutes=1))
+    result = replay(spark, path, build, "next", timedelta(hours=3), files_per_batch=1)
+    assert [(r.window_start, r.n) for r in result.orderBy("window_start").collect()] == [
+        (START, 2),
+        (START + 10 * HOUR, 1),
+        (START + 11 * HOUR, 1),
+    ]
+
+
 def test_a_short_closing_time_is_refused(spark, feed):
     short = timedelta(minutes=1)
     with pytest.raises(ValueError):
