@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import Tables
-from . import event_windows, joins, ordering, props, rankings, sets, streams, subtotal_reports
+from . import (
+    distributions,
+    event_windows,
+    joins,
+    kept_reports,
+    ordering,
+    props,
+    rankings,
+    sets,
+    streams,
+    subtotal_reports,
+    timed_joins,
+)
 
 _MODULES = (
     joins,
@@ -21,6 +33,9 @@ _MODULES = (
     sets,
     props,
     event_windows,
+    timed_joins,
+    distributions,
+    kept_reports,
     streams,
 )
 

@@ -1,0 +1,192 @@
+"""Interval joins, as-of joins and exact quantiles against plain forms, on skewed tables."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import asof_join, interval_join, quantiles
+from millrace.operators.intervals import in_bins
+
+POINT, SPAN = "p_id int, p_key string, p_at bigint", "s_id int, s_key string, s_from bigint, s_to bigint"
+
+
+def some(random_, n):
+    """A key that is hot, null or one of a few."""
+    return [("hot" if x < 0.4 else None if x < 0.45 else f"k{int(x * 20)}") for x in (random_.random() for _ in range(n))]
+
+
+@pytest.fixture(scope="module")
+def points_and_spans(spark):
+    rng = random.Random(5)
+    points = [
+        (i, k, rng.choice([None, -7, 0, rng.randrange(-50, 100_000), rng.randrange(500)]))
+        for i, k in enumerate(some(rng, 1500))
+    ]
+    spans = []
+    for i, k in enumerate(some(rng, 500)):
+        start = rng.choice([rng.randrange(-100, 100_000), rng.randrange(500), None if i % 7 == 0 else 0])
+        length = rng.choice([0, 1, 2, 9, 64, 65, 1000, 40_000, 10**12, -5])
+        spans.append((i, k, start, None if start is None or i % 31 == 0 else start + length))
+    points += points[:20]
+    spans += spans[:10]
+    return spark.createDataFrame(points, POINT), spark.createDataFrame(spans, SPAN), points, spans
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("pieces", [None, 1, 1000])
+def test_interval_join_equals_all_pairs(spark, points_and_spans, keyed, pieces):
+    p, s, points, spans = points_and_spans
+    joined = interval_join(p, s, "p_at", "s_from", "s_to", {"p_key": "s_key"} if keyed else None, pieces)
+    expected = Counter(
+        a + b
+        for a in points
+        for b in spans
+        if None not in (a[2], b[2], b[3]) and b[2] <= a[2] < b[3] and (not keyed or a[1] == b[1] is not None)
+    )
+    assert joined.columns == p.columns + s.columns
+    assert Counter(map(tuple, joined.collect())) == expected
+
+
+def test_interval_join_takes_times_and_empty_tables(spark, points_and_spans):
+    p, s, *_ = points_and_spans
+    t0 = datetime(2024, 1, 1)
+    times = spark.createDataFrame([(1, t0), (2, t0 + timedelta(hours=2)), (3, None)], "a int, at timestamp_ntz")
+    spans = spark.createDataFrame([("x", t0, t0 + timedelta(hours=2))], "b string, f timestamp_ntz, t timestamp_ntz")
+    assert [r.a for r in interval_join(times, spans, "at", "f", "t").collect()] == [1]
+    assert interval_join(p.limit(0), s, "p_at", "s_from", "s_to").count() == 0
+    assert interval_join(p, s.limit(0), "p_at", "s_from", "s_to").count() == 0
+    with pytest.raises(ValueError):
+        interval_join(p, s.withColumnRenamed("s_id", "p_id"), "p_at", "s_from", "s_to")
+
+
+def test_a_span_over_everything_is_cut_in_time(spark):
+    points = spark.range(20_000).select(F.lit("k").alias("p_key"), F.col("id").alias("p_at"))
+    spans = spark.createDataFrame([("k", 0, 20_000)], "s_key string, s_from bigint, s_to bigint")
+    given = (points, spans, "p_at", "s_from", "s_to", {"p_key": "s_key"})
+    _, bins = in_bins(*given, pieces=16)
+    assert 2 < bins.count() <= 17
+    joined = interval_join(*given, pieces=16)
+    assert joined.count() == 20_000
+    assert "Cartesian" not in joined._jdf.queryExecution().toString()
+
+
+def test_copies_and_comparisons_stay_few(spark):
+    rng = random.Random(8)
+    points = spark.createDataFrame([(i, rng.randrange(10**6)) for i in range(4000)], "p int, at bigint")
+    starts = [rng.randrange(10**6) for _ in range(600)]
+    spans = [(i, a, a + (5, 300, 20_000)[i % 3]) for i, a in enumerate(starts)]
+    spans = spark.createDataFrame(spans, "s int, f bigint, t bigint")
+    left, right = in_bins(points, spans, "at", "f", "t", {})
+    assert left.count() <= 4 * 4000 and right.count() <= 2 * 600
+    compared = left.join(right, (left._width == right._level) & (left._place == right._bin)).count()
+    assert compared <= 20 * interval_join(points, spans, "at", "f", "t").count()
+
+
+def asof_plain(left, right, forward, tolerance, exact):
+    for row in left:
+        best = None
+        for other in right:
+            if None in (row[1], row[2], other[1], other[2]) or row[1] != other[1]:
+                continue
+            gap = other[2] - row[2] if forward else row[2] - other[2]
+            if gap < 0 or (gap == 0 and not exact):
+                continue
+            rank = (-gap, other[0])
+            if best is None or rank > best[0]:
+                best = (rank, other)
+        found = best is not None and (tolerance is None or -best[0][0] <= tolerance)
+        yield row + (best[1] if found else (None, None, None))
+
+
+@pytest.mark.parametrize("pieces", [1, 13])
+@pytest.mark.parametrize("forward, tolerance, exact", [(False, None, True), (False, 40, False), (True, None, False), (True, 7, True)])
+def test_asof_join_equals_a_search(spark, forward, tolerance, exact, pieces):
+    rng = random.Random(6)
+
+    def rows(n, first):
+        return [
+            (first + i, k, rng.choice([None, rng.randrange(300), rng.randrange(6000)]))
+            for i, k in enumerate(some(rng, n))
+        ]
+
+    left, right = rows(700, 0), rows(300, 5000)
+    left += left[:15]
+    found = asof_join(
+        spark.createDataFrame(left, "l_id int, l_key string, l_at bigint"),
+        spark.createDataFrame(right, "r_id int, r_key string, r_at bigint"),
+        {"l_key": "r_key"}, {"l_at": "r_at"}, ["r_id"],
+        forward=forward, tolerance=tolerance, exact=exact, pieces=pieces,
+    )
+    assert found.columns == ["l_id", "l_key", "l_at", "r_id", "r_key", "r_at"]
+    assert Counter(map(tuple, found.collect())) == Counter(asof_plain(left, right, forward, tolerance, exact))
+
+
+def test_asof_join_without_keys_and_on_empty_tables(spark):
+    left = spark.createDataFrame([(i,) for i in range(0, 100, 7)], "a bigint")
+    right = spark.createDataFrame([(i, "x" * (i % 3)) for i in range(0, 100, 10)], "b bigint, payload string")
+    found = asof_join(left, right, {}, {"a": "b"}, [], pieces=5).collect()
+    assert {(r.a, r.b) for r in found} == {(a, a // 10 * 10) for a in range(0, 100, 7)}
+    assert all(r.payload == "x" * (r.b % 3) for r in found)
+    none = asof_join(left, right.limit(0), {}, {"a": "b"}, [])
+    assert [r.b for r in none.collect()] == [None] * 15
+    assert asof_join(left.limit(0), right, {}, {"a": "b"}, []).count() == 0
+
+
+def test_asof_match_is_carried_over_many_pieces_of_a_hot_key(spark):
+    left = spark.createDataFrame([("k", i) for i in range(1, 3000)], "l_key string, l_at bigint")
+    right = spark.createDataFrame([("k", 0), ("j", 5)], "r_key string, r_at bigint")
+    found = asof_join(left, right, {"l_key": "r_key"}, {"l_at": "r_at"}, ["r_at"], pieces=20)
+    assert found.filter("r_at = 0").count() == 2999
+
+
+NUMBERS = {
+    "bigint": [3, 3, 3, 1, 2**62, 2**62 + 1, -(2**62), 0, 7, None],
+    "double": [0.5, -0.0, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan"), 2.5, None],
+    "decimal(20,2)": None,
+}
+
+
+@pytest.mark.parametrize("kind", NUMBERS)
+@pytest.mark.parametrize("keys", [["k"], [], ["k", "j"]])
+def test_quantiles_equal_a_sort(spark, kind, keys):
+    from decimal import Decimal
+
+    rng = random.Random(9)
+    values = NUMBERS[kind] or [Decimal("1.25"), Decimal("-7.10"), Decimal("99999999999.99"), None, Decimal(0)]
+    rows = [(k, i % 2, rng.choice(values)) for i, k in enumerate(some(rng, 3000))]
+    if kind == "bigint":
+        rows += [("wide", 0, rng.randrange(-(10**15), 10**15)) for _ in range(9000)]
+    if kind == "double":
+        rows += [("wide", 0, rng.lognormvariate(0, 8)) for _ in range(9000)]
+    rows += [("only null", 1, None)]
+    df = spark.createDataFrame(rows, f"k string, j int, v {kind}")
+    at = {"least": "0", "mid": "0.5", "third": "0.333", "most": "1"}
+    found = quantiles(df, keys, "v", at).collect()
+
+    def order(v):
+        return (1, 0) if isinstance(v, float) and v != v else (0, v)
+
+    groups = {}
+    for k, j, v in rows:
+        if v is not None:
+            groups.setdefault(tuple({"k": k, "j": j}[x] for x in keys), []).append(v)
+    assert len(found) == len(groups)
+    for row in found:
+        own = sorted(groups[tuple(row[x] for x in keys)], key=order)
+        assert row.n_rows == len(own)
+        for name, share in at.items():
+            rank = max(1, -(-int(Decimal(share) * 1000) * len(own) // 1000))
+            assert order(row[name]) == order(own[rank - 1]), (row, name)
+
+
+def test_quantiles_of_an_empty_table_and_bad_shares(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert quantiles(df, ["k"], "v", {"m": "0.5"}).count() == 0
+    assert quantiles(df, [], "v", {"m": "0.5"}).count() == 0
+    with pytest.raises(ValueError):
+        quantiles(df, [], "v", {"m": "1.5"})
