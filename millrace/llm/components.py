@@ -12,8 +12,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Return ``id, root`` for every id in ``links``; root is the smallest id reachable.
 
     Alternates large-star and small-star steps. Neighbours are never gathered in one row:
-    a step takes the least neighbour of each id, an aggregate that map tasks begin, and joins
-    it back, so an id with very many links is split by adaptive execution. Each round's links
+    a step takes the least neighbour of each id, an aggregate that map tasks begin, writes that and
+    joins it back, so that adaptive execution can split an id with very many links. Each round's links
     are written to the shared folder, which cuts the lineage and survives lost executors.
     Links with a null end and loops are ignored. Runs jobs.
     """
@@ -39,14 +39,14 @@ def _large_star(links: DataFrame) -> DataFrame:
         links.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = written(least.select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
     moved = both.filter("v > u").join(least, F.col("u") == F.col("w"))
     return moved.select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo < hi").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Point an id and its smaller neighbours at the least of them."""
-    least = links.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "w")
+    least = written(links.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m")), "least")
     moved = links.join(least, F.col("hi") == F.col("w"))
     pairs = moved.select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi"))
     return pairs.filter("lo < hi").distinct()

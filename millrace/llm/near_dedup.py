@@ -25,8 +25,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..workspace import written
 from .components import components
@@ -79,12 +81,15 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature, bands`` per row; the last three null if empty."""
+    """The rows of ``docs`` with ``n_shingles, set_key, signature, bands``, the last three null if
+    empty, and a number for the row, ``row``."""
+    docs_columns, text = docs.columns, docs.columns.index("text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in small(batches):
             count, keys, signs, bands = [], [], [], []
-            for found in shingle_sets(batch.column(1), words):
+            for found in shingle_sets(batch.column(text), words):
                 count.append(len(found))
                 if not len(found):
                     keys.append(None), signs.append(None), bands.append(None)
@@ -95,20 +100,22 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 bands.append(band_keys(low))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns,
                     pa.array(count, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(signs, pa.list_(pa.int64())),
                     pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(range(row, row + batch.num_rows), pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "signature", "bands"],
+                [*docs_columns, "n_shingles", "set_key", "signature", "bands", "row"],
             )
+            row += batch.num_rows
 
-    schema = (
-        "doc_id bigint, n_shingles bigint, set_key binary, "
-        "signature array<bigint>, bands array<bigint>"
+    added = (
+        "n_shingles bigint, set_key binary, signature array<bigint>, bands array<bigint>, row bigint"
     )
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
+    return docs.mapInArrow(sign, schema)
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -181,8 +188,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             ]
             yield batch.select(["a", "b"]).take(pa.array(rows, pa.int64()))
 
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(link, "a bigint, b bigint")
 
@@ -192,7 +199,7 @@ def confirmed_in_blocks(
 ) -> DataFrame:
     """Links ``a, b`` between the components of a bucket, found block by block.
 
-    ``mixed`` has band, doc_id, root, n_shingles, signature, bands. A pair is looked at in
+    ``mixed`` has band, node, root, n_shingles, signature, bands. A pair is looked at in
     the first band it shares only.
     """
     sizes = mixed.groupBy("band", "root").agg(F.count("*").alias("n"))
@@ -201,7 +208,10 @@ def confirmed_in_blocks(
         F.ceil(F.max("n") / block).cast("int").alias("mains"),
         F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / block)).cast("int").alias("others"),
     )
-    chunk = F.xxhash64("doc_id")
+    # Written, as are other aggregates here that are joined back by their key: adaptive execution
+    # splits a hot key among plain shuffles only.
+    largest = written(largest, "largest")
+    chunk = F.xxhash64("node")
     rows = mixed.join(largest, "band").withColumn("is_main", F.col("root") == F.col("main"))
     rows = rows.withColumn(
         "chunk", F.pmod(chunk, F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
@@ -222,15 +232,15 @@ def confirmed_in_blocks(
     later = F.transform(below(F.col("others") - own), lambda j: place(1, own, own + j, 0))
     earlier = F.transform(below(own), lambda i: place(1, i, own, 1))
     places = F.when(F.col("is_main"), to_others).otherwise(F.concat(to_mains, later, earlier))
-    rows = rows.withColumn("at", F.explode(places)).join(texts, "doc_id")
+    rows = rows.withColumn("at", F.explode(places)).join(texts, "node")
     rows = rows.select(
-        "band", "at.*", "doc_id", "root", "n_shingles", "signature", "bands", "text"
+        "band", "at.*", "node", "root", "n_shingles", "signature", "bands", "text"
     )
 
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         part = table["part"].to_numpy()
-        ids, roots = table["doc_id"].to_numpy(), table["root"].to_numpy()
+        ids, roots = table["node"].to_numpy(), table["root"].to_numpy()
         sizes = table["n_shingles"].to_numpy()
         planes = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, LONGS)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
@@ -261,72 +271,59 @@ def confirmed_in_blocks(
     return rows.groupBy("band", "kind", "i", "j").applyInArrow(link, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, listed: int = 64, block: int = 512
+def _groups(
+    signed: DataFrame,
+    usable: DataFrame,
+    words: int,
+    percent: int,
+    listed: int,
+    block: int,
+    by_id: bool,
 ) -> DataFrame:
-    """Return ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Of open buckets with at most ``listed`` members the possible pairs are listed; larger
-    ones are searched in blocks of about ``block`` members. Both give the same links.
-
-    ``docs`` needs doc_id (bigint) and text; other columns are ignored. Documents are
-    linked where 100 * intersection >= percent * union of their shingle sets, and component_id
-    is the smallest doc_id reachable. Null or empty texts and texts of white space have an
-    empty set and are linked with nothing. A row with a null doc_id can't be linked: its
-    component is null and it is kept. Repeated doc_ids are one document, described by its
-    rows together: each row keeps its own n_shingles. An empty table gives an empty result.
-    Needs folder ``spark.checkpoint.dir``; runs jobs.
-    """
-    docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, words), "signatures")
-    usable = signed.filter("doc_id is not null and set_key is not null")
-
-    # Written, so that a very large class is not tied to one task: adaptive execution can split the
-    # rows of a plain shuffle, but not those that meet an aggregate in the same stage.
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    classes = written(classes, "classes")
-    copies = written(
-        usable.join(classes, "set_key").select("doc_id", "first", "n_shingles"), "copies"
-    )
-    # Of a class of equal sets only its smallest document is compared; an id whose repeated
-    # rows have different texts may stand for several sets.
-    firsts = classes.select("set_key", F.col("first").alias("doc_id"))
-    firsts = usable.join(firsts, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
-    firsts = written(
-        firsts.select("doc_id", "n_shingles", "signature", "bands", "set_key"), "firsts"
-    )
-    slots = firsts.select("doc_id", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    members = written(
-        slots.join(buckets.filter("least < most"), "band").select("band", "doc_id", "least"),
-        "members",
+    """``set_key, first, root`` per distinct set of ``usable`` rows: its smallest id and its component."""
+    # A node is a distinct set, of which one row is compared. Copies only meet in this aggregate, which
+    # map tasks begin, and in plain joins with what it wrote.
+    classes = usable.groupBy("set_key").agg(
+        F.min("doc_id").alias("first"), F.min("row").alias("row")
     )
-    own = firsts.select("doc_id", "n_shingles", "signature", "bands")
-    pairs = members.filter("least < doc_id").select(
-        F.col("least").alias("a"), F.col("doc_id").alias("b")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = signed.select("row", "n_shingles", "signature", "bands")
+    own = own.join(classes.select("node", "row"), "row")
+    own = written(own.select("node", "n_shingles", "signature", "bands"), "nodes")
+
+    slots = own.select("node", F.explode("bands").alias("band"))
+    buckets = slots.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    buckets = written(buckets.filter("least < most"), "buckets")
+    members = written(slots.join(buckets, "band").select("band", "node", "least"), "members")
+    pairs = members.filter("least < node").select(
+        F.col("least").alias("a"), F.col("node").alias("b")
     )
     pairs = pairs.distinct().join(_side(own, "a"), "a").join(_side(own, "b"), "b")
     pairs = written(pairs.filter(_possible(percent)).select("a", "b").distinct(), "pairs")
-    texts = _texts_of(docs, members)
-    same = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
-    links = confirmed(pairs, texts, words, percent).unionByName(same)
+    texts = classes.select("node", "row").join(members.select("node").distinct(), "node")
+    texts = signed.select("row", "text").join(texts, "row").select("node", "text")
+    texts = written(texts, "texts")
+    links = confirmed(pairs, texts, words, percent)
+    if by_id:
+        links = links.unionByName(_of_one_id(usable, classes))
     roots = written(components(links), "roots")
 
     # What the stars left open: buckets with members of more than one component.
-    placed = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", F.coalesce("root", "doc_id").alias("root")
+    placed = members.join(roots.withColumnRenamed("id", "node"), "node", "left").select(
+        "band", "node", F.coalesce("root", "node").alias("root")
     )
+    placed = written(placed, "placed")
     mixed = placed.groupBy("band").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")
     )
-    mixed = placed.join(mixed.filter("lo < hi").select("band", "members"), "band")
-    mixed = written(mixed.join(own, "doc_id"), "mixed")
+    mixed = written(mixed.filter("lo < hi").select("band", "members"), "open")
+    mixed = written(placed.join(mixed, "band").join(own, "node"), "mixed")
     small, large = mixed.filter(F.col("members") <= listed), mixed.filter(F.col("members") > listed)
     left, right = (
         _side(small, name, F.col("band"), F.col("root").alias(f"root_{name}")) for name in "ab"
     )
     pairs = left.join(right, "band").filter((F.col("root_a") < F.col("root_b")) & _possible(percent))
-    pairs = written(pairs.select("a", "b").distinct(), "open")
+    pairs = written(pairs.select("a", "b").distinct(), "possible")
     more = confirmed(pairs, texts, words, percent).unionByName(
         confirmed_in_blocks(large, texts, words, percent, block)
     )
@@ -335,10 +332,78 @@ def near_duplicates(
         links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = written(components(links), "roots")
 
-    roots = roots.select(F.col("id").alias("doc_id"), "root")
-    result = signed.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
-    component = F.coalesce("root", "doc_id")
-    return result.select(
+    found = classes.join(roots.withColumnRenamed("id", "node"), "node", "left")
+    return found.select("set_key", "first", F.coalesce("root", "node").alias("root"))
+
+
+def _of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the sets of rows that share an id."""
+    placed = usable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
+    placed = placed.select("doc_id", "node")
+    shared = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most"))
+    shared = written(shared.filter("a < most"), "shared")
+    same = placed.join(shared, "doc_id").select("a", F.col("node").alias("b"))
+    return same.filter("a < b").distinct()
+
+
+def representatives(
+    docs: DataFrame, words: int = 5, percent: int = 80, listed: int = 64, block: int = 512
+) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns.
+
+    Groups are those of :func:`near_duplicates`, but rows count by their texts alone: rows without an id
+    take part, and different texts that share an id stay. Of a group, exact repeats included, the row
+    with the smallest doc_id stays, null last, and of several such any one. Rows without words all
+    stay. An empty table gives an empty result. Needs folder ``spark.checkpoint.dir``; runs jobs.
+    """
+    signed = written(signatures(docs, words), "signatures")
+    usable = signed.select("doc_id", "set_key", "row").filter("set_key is not null")
+    groups = _groups(signed, usable, words, percent, listed, block, by_id=False)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = written(groups.select("set_key", "root"), "groups")
+    best = usable.join(groups, "set_key").groupBy("root").agg(F.min(rank).alias("best"))
+    chosen = written(best.select(F.col("best.row").alias("row")), "chosen")
+    wordless = signed.filter("set_key is null")
+    return signed.join(chosen, "row", "left_semi").unionByName(wordless).select(*docs.columns)
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, listed: int = 64, block: int = 512
+) -> DataFrame:
+    """Return ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Of open buckets with at most ``listed`` members the possible pairs are listed; larger
+    ones are searched in blocks of about ``block`` members. Both give the same links.
+
+    ``docs`` needs doc_id (bigint) and text; other columns are ignored. Documents are
+    linked where 100 * intersection >= percent * union of their shingle sets, and component_id
+    is the smallest doc_id reachable. Null or empty texts and texts of white space have an
+    empty set and are linked with nothing. A row with a null doc_id can't be linked: its
+    component is null and it is kept. Repeated doc_ids are one document, described by its
+    rows together: each row keeps its own n_shingles. An empty table gives an empty result.
+    Needs folder ``spark.checkpoint.dir``; runs jobs.
+    """
+    signed = written(signatures(docs.select("doc_id", "text"), words), "signatures")
+    rows = signed.select("doc_id", "n_shingles", "set_key", "row")
+    usable = rows.filter("doc_id is not null and set_key is not null")
+
+    sets = _groups(signed, usable, words, percent, listed, block, by_id=True)
+
+    # The smallest id of each component, and from there down to sets and rows.
+    sets = written(sets, "sets")
+    least = written(sets.groupBy("root").agg(F.min("first").alias("component")), "least")
+    ids = written(sets.join(least, "root").select("set_key", "component"), "components")
+    # An empty row has the component of its id's other rows, if it has any.
+    empty = rows.filter("doc_id is not null and set_key is null")
+    other = usable.join(empty.select("doc_id").distinct(), "doc_id", "left_semi")
+    other = other.join(ids, "set_key").groupBy("doc_id").agg(F.min("component").alias("component"))
+    columns = ["doc_id", "n_shingles", "component"]
+    found = usable.join(ids, "set_key").select(*columns)
+    found = found.unionByName(empty.join(written(other, "other"), "doc_id", "left").select(*columns))
+    alone = rows.filter("doc_id is null").withColumn("component", F.lit(None).cast("bigint"))
+    found = found.unionByName(alone.select(*columns))
+    component = F.coalesce("component", "doc_id")
+    return found.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
@@ -349,13 +414,7 @@ def near_duplicates(
 def _side(own: DataFrame, name: str, *more: Column) -> DataFrame:
     return own.select(
         *more,
-        F.col("doc_id").alias(name),
+        F.col("node").alias(name),
         F.col("n_shingles").alias(f"n_{name}"),
         F.col("signature").alias(f"sign_{name}"),
     )
-
-
-def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The texts of documents that share a bucket, once per id and text."""
-    ids = members.select("doc_id").distinct()
-    return written(docs.join(ids, "doc_id"), "texts")
