@@ -31,10 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group linked by five-word shingles."""
-    found = near_dedup.near_duplicates(docs, words=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one document of each group linked by five-word shingles, that of the smallest doc_id.
+
+    Rows are compared by their texts, whether or not they have an id of their own.
+    """
+    return near_dedup.representatives(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
