@@ -48,12 +48,12 @@ def fit(labelled: DataFrame, order: int = 4, texts_per_language: int = 1000) ->
     """Learn from ``labelled`` (doc_id, text, lang); null texts and languages are left out.
 
     The training sample is bounded: about ``texts_per_language`` rows of each language, drawn by
-    a hash of doc_id, each as a whole; repeated rows of one id are learned from together. All
-    contexts seen in them are kept. ``order`` is at most 6. Runs jobs; with nothing to learn from
+    a hash of doc_id and text, each as a whole; repeated rows count once, and rows without an id are
+    not learned from. All contexts seen in them are kept. ``order`` is at most 6. Runs jobs; with nothing to learn from
     the model has no language.
     """
     labelled = labelled.filter("text is not null")
-    sample = even_sample(labelled, "lang", "doc_id", texts_per_language).select("lang", "text")
+    sample = even_sample(labelled, "lang", ["doc_id", "text"], texts_per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import written
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -17,16 +19,20 @@ def remainder(key: str, parts: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
-def even_sample(df: DataFrame, per: str, key: str, about: int) -> DataFrame:
+def even_sample(df: DataFrame, per: str, keys: list[str], about: int) -> DataFrame:
     """About ``about`` rows for each value of column ``per``, all where there are fewer.
 
-    Rows are drawn by a hash of ``key`` below a limit set by the value's count, so the same rows
-    are drawn in every run, no group meets in one task, and rows that share a key are drawn
-    together. Rows with a null in either column are left out. Runs a job that counts.
+    Rows are drawn by a hash of ``keys`` below a limit set by the value's count, so the same rows
+    are drawn in every run and no group meets in one task. Rows that are equal in ``per`` and
+    ``keys`` are drawn together and then count once, so that a row repeated very often can't
+    make the sample larger. Rows with a null in any of these columns are left out. Runs a job that counts.
     """
-    df = df.filter(F.col(per).isNotNull() & F.col(key).isNotNull())
+    for column in (per, *keys):
+        df = df.filter(F.col(column).isNotNull())
     counts = df.groupBy(F.col(per).alias("_per")).agg(F.count("*").alias("_rows"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    # Written, so that Spark broadcasts it only while it is known to be small.
+    counts = written(counts, "counts")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 40))
     limit = F.lit(about) / F.col("_rows") * F.lit(float(1 << 40))
-    joined = df.join(F.broadcast(counts), F.col(per) == F.col("_per"))
-    return joined.filter(draw < limit).select(*df.columns)
+    joined = df.join(counts, F.col(per) == F.col("_per"))
+    return joined.filter(draw < limit).select(*df.columns).dropDuplicates([per, *keys])
