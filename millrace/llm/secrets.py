@@ -2,8 +2,9 @@
 
 Besides assignments, access keys and long hex strings, runs of base64 or hex digits are decoded
 and reported only if their bytes have the structure of a secret: a DER sequence whose nested
-lengths fit exactly and that starts like a key, the length-prefixed fields of an SSH key, the
-header of a private key file, or a signed token whose header is a JSON object naming its algorithm.
+lengths fit exactly down to the private numbers, the length-prefixed fields of an SSH private key,
+a private key file with such a body, or a signed token whose header is a JSON object naming its
+algorithm. Public keys have no secret in them and are not reported.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -30,12 +32,16 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# A brace is coded as e, and as w to y with the quote or white space after it, or 3 with a brace.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[w-y][A-Za-z0-9_-]+\.e[w-y3][A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 _PEM = re.compile(
     r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s:,-])*)-----END \1-----"
 )
+_PGP = re.compile(
+    r"-----BEGIN PGP PRIVATE KEY BLOCK-----((?:(?!-----)[^\0])*)-----END PGP PRIVATE KEY BLOCK-----"
+)
 
 _LONG_RUN = 24
 _CODED = np.zeros(256, bool)
@@ -76,7 +82,7 @@ def der_parts(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One outer sequence, filled exactly: version and key parts, or algorithm and key bits."""
+    """One outer sequence, filled exactly: version and private numbers, or a wrapped private key."""
     outer = der_parts(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -86,15 +92,23 @@ def is_der_key(data: bytes) -> bool:
     tags = [tag for tag, _ in inner]
     if tags[0] == 0x02 and inner[0][1] in (b"\0", b"\1"):  # a version
         if tags[1] == 0x30:  # algorithm, then the wrapped key
-            return len(tags) > 2 and tags[2] == 0x04 and _algorithm(inner[1][1])
+            return len(tags) > 2 and tags[2] == 0x04 and _algorithm(inner[1][1]) and _wrapped(inner[2][1])
         if tags[1] == 0x04:  # a private value on a named curve
-            return len(inner[1][1]) >= 16
+            return len(inner[1][1]) >= 16 and any(inner[1][1])
         return len(tags) >= 5 and all(t == 0x02 for t in tags) and len(inner[1][1]) >= 32
-    if tags == [0x30, 0x03]:  # algorithm and public key bits
-        return _algorithm(inner[0][1]) and inner[1][1][:1] == b"\0"
-    if tags == [0x30, 0x04]:  # encrypted private key
-        return _algorithm(inner[0][1])
-    return tags == [0x02, 0x02] and len(inner[0][1]) >= 32  # modulus and exponent
+    # An encrypted private key: algorithm with its parameters, and whole cipher blocks.
+    return tags == [0x30, 0x04] and _algorithm(inner[0][1]) and len(inner[1][1]) >= 32
+
+
+def _wrapped(data: bytes) -> bool:
+    """What a private key is wrapped around: a key of its own, a number, or the bytes of a curve's key."""
+    parts = der_parts(data)
+    if not parts or len(parts) != 1:
+        return False
+    tag, content = parts[0]
+    if tag == 0x30:
+        return is_der_key(data) or all(t == 0x02 for t, _ in der_parts(content) or [(0, b"")])
+    return tag in (0x02, 0x04) and len(content) >= 20 and any(content)
 
 
 def _algorithm(data: bytes) -> bool:
@@ -103,19 +117,34 @@ def _algorithm(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """A private key file's mark, or length-prefixed fields, the first of which names a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
+    """A private key file: its mark, then cipher, derivation, options, key count, and all keys."""
+    mark = b"openssh-key-v1\0"
+    if not data.startswith(mark):
+        return False
+    at, fields = len(mark), 0
     while at < len(data):
+        if fields == 3:  # how many keys, a bare number
+            at, fields = at + 4, fields + 1
+            continue
         if at + 4 > len(data):
             return False
-        size = int.from_bytes(data[at : at + 4])
-        at += 4 + size
+        at += 4 + int.from_bytes(data[at : at + 4])
+        fields += 1
         if at > len(data):
             return False
-        fields.append(data[at - size : at])
-    return len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+    return fields >= 6  # a public part and the private one
+
+
+def is_pgp_key(block: str) -> bool:
+    """Headers, an empty line and base64, whose first packet is a secret key's."""
+    body = re.split(r"\n[ \t\r]*\n", block, maxsplit=1)[-1].split()
+    body = [line for line in body if not (line.startswith("=") and len(line) == 5)]  # a checksum
+    try:
+        data = _unbase64("".join(body))
+    except ValueError:
+        return False
+    first = data[0] if len(data) >= 32 else 0
+    return first >> 6 == 3 and first & 63 == 5 or first >> 6 == 2 and first >> 2 & 15 == 5
 
 
 def is_token(text: str) -> bool:
@@ -143,32 +172,61 @@ def _kind_of(data: bytes) -> str | None:
     return "ssh_key" if is_ssh_key(data) else None
 
 
+class _Taken:
+    """Spans that don't overlap, kept in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.ends, start + 1)
+        return at < len(self.ends) and self.starts[at] < end
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
+def _is_key_file(body: str) -> bool:
+    legacy = "ENCRYPTED" in body and "DEK-Info" in body  # its body is cipher text
+    coded = re.sub(r"[A-Za-z0-9-]+:[^\n]*", "", body) if legacy else body
+    try:
+        data = _unbase64("".join(coded.split()))
+    except ValueError:
+        return False
+    return bool(_kind_of(data)) or (legacy and len(data) >= 64)
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded bytes have the structure of a key or signed token."""
-    found, taken = [], []
+    found: list[tuple[str, int, int]] = []
+    taken = _Taken()
+
+    def take(kind: str, m: re.Match) -> None:
+        found.append((kind, *m.span()))
+        taken.add(*m.span())
+
     for m in _PEM.finditer(text):
-        body = "".join(line for line in m[2].split() if ":" not in line and "," not in line)
-        try:
-            if _kind_of(_unbase64(body)) or "ENCRYPTED" in m[0]:
-                found.append(("pem_key", *m.span()))
-                taken.append(m.span())
-        except ValueError:
-            continue
+        if _is_key_file(m[2]):
+            take("pem_key", m)
+    for m in _PGP.finditer(text):
+        if is_pgp_key(m[1]):
+            take("pem_key", m)
     for m in _TOKEN.finditer(text):
-        if is_token(m[0]):
-            found.append(("token", *m.span()))
-            taken.append(m.span())
+        if not taken.meets(*m.span()) and is_token(m[0]):
+            take("token", m)
     for pattern, decode in ((_BASE64, _unbase64), (_ANY_HEX, binascii.unhexlify)):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            if taken.meets(*m.span()):
                 continue
             try:
                 kind = _kind_of(decode(m[0]))
             except ValueError:
                 continue
             if kind:
-                found.append((kind, *m.span()))
-                taken.append(m.span())
+                take(kind, m)
     return found
 
 
@@ -214,7 +272,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 plain = base_spans(text)
                 more = []
                 # Parts of tokens and lines of key files may be shorter.
-                if run or "eyJ" in text or "-----BEGIN " in text:
+                if run or "-----BEGIN " in text or _TOKEN.search(text):
                     plain += hex_spans(text)
                     more = confirmed_spans(text)
                 kinds = [kind for kind, _, _ in plain]

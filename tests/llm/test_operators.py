@@ -44,7 +44,7 @@ def shingles(text, size):
 @pytest.mark.parametrize("name", queries.SQL)
 def test_queries_equal_their_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents"):
         connection.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     expected = connection.sql(queries.SQL[name]).to_arrow_table()
     actual = queries.QUERIES[name](spark, SMALL).toArrow()
@@ -80,7 +80,9 @@ def test_secrets_are_confirmed_by_structure():
     number = b"\x02\x21\x00" + bytes(range(0x80, 0xA0))
     body = b"\x02\x01\x00" + number * 5
     der = b"\x30\x81" + bytes([len(body)]) + body
-    ssh = b"".join(len(x).to_bytes(4) + x for x in (b"ssh-ed25519", bytes(32)))
+    part = lambda x: len(x).to_bytes(4) + x
+    public = part(b"ssh-ed25519") + part(bytes(32))
+    ssh = b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4) + part(public) + part(bytes(128))
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
     token = f"{head}.{base64.urlsafe_b64encode(b'{}').decode().rstrip('=')}.c2ln"
     text = f"a {base64.b64encode(der).decode()} b {ssh.hex()} c {token} {base64.b64encode(bytes(40)).decode()}"
@@ -90,6 +92,7 @@ def test_secrets_are_confirmed_by_structure():
         "token",
     ]
     assert not secrets.is_der_key(der[:-1]) and not secrets.is_ssh_key(ssh + b"x")
+    assert not secrets.is_ssh_key(public)
 
 
 def test_secrets_without_a_long_run_are_scanned(spark):
