@@ -257,6 +257,41 @@ def _license_sql(templates: list[licenses.Template]) -> str:
 
 
 SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+        with recursive docs as materialized (
+            select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+            from documents
+        ),
+        shingles as materialized (
+            select distinct rid, doc_id, unnest(case when len(words) < 2 then words
+                else list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])
+                end) as shingle
+            from docs
+        ),
+        sizes as (select rid, any_value(doc_id) as doc_id, count(*) as n from shingles group by rid),
+        pairs as (
+            select a.rid as a, b.rid as b, count(*) as shared
+            from shingles a join shingles b using (shingle) where a.rid < b.rid group by all
+        ),
+        links as materialized (
+            select x.doc_id as a, y.doc_id as b
+            from pairs p join sizes x on p.a = x.rid join sizes y on p.b = y.rid
+            where 100 * shared >= 80 * (x.n + y.n - shared) and x.doc_id <> y.doc_id
+        ),
+        reach as (
+            select a, b from (select a, b from links union all select b, a from links)
+            union
+            select r.a, l.b from reach r join (select a, b from links union all select b, a from links) l
+                on r.b = l.a
+        ),
+        least as (select a, min(b) as b from reach group by a)
+        select d.doc_id, coalesce(n, 0) as n_shingles,
+            case when d.doc_id is not null then least(d.doc_id, coalesce(l.b, d.doc_id)) end as component_id,
+            coalesce(d.doc_id <= coalesce(l.b, d.doc_id), true) as kept
+        from docs d left join sizes s using (rid) left join least l on d.doc_id = l.a
+    """,
     "op3_warc_revisits": rf"""
         with plain as (select *, {_URL} as u from pages),
         parts as (
