@@ -20,29 +20,39 @@ from pyspark.sql import functions as F
 
 from ..workspace import written
 
+_EXACT = 1 << 53  # whole numbers below are exact as doubles, in which bounds are summed
 LEVELS = 16  # quantised values per dimension
 ROUNDS = 16  # of taking segments, at most, between two looks at the bounds
 _INDEX = "block bigint, rows int, width int, ids binary, vectors binary, order binary, level binary"
 
 
 def whole(column: str, scale: int = 1024):
-    """floor(scale * x) of every component as double; null where the vector takes no part."""
+    """floor(scale * x) of every component as double; null where the vector takes no part.
+
+    A finite component whose product with ``scale`` is no exact whole number (2**53 or more) is an error.
+    """
     x = F.col(column)
     fine = x.isNotNull() & F.forall(
         x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf"))
     )
-    scaled = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))))
-    return F.when(fine, scaled)
+    wrong = F.raise_error(F.lit(f"a component of {column} is too large")).cast("bigint")
+
+    def scaled(v):
+        product = v.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(product) < float(_EXACT), F.floor(product)).otherwise(wrong)
+
+    return F.when(fine, F.transform(x, scaled))
 
 
 def build(vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
     """The index of ``vectors`` (vec_id, vector of bigint): one row per block, written once.
 
-    Null vectors and null ids are left out. Shorter vectors end in zeros. Runs jobs.
+    Null vectors and null ids are left out. Shorter vectors end in zeros. Rows are dealt to blocks by
+    their place, so a repeated id fills no block. Runs jobs.
     """
     vectors = vectors.filter("vec_id is not null and vector is not null")
     blocks = max(1, -(-vectors.count() // block_rows))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    placed = vectors.withColumn("block", _part(blocks))
 
     def lay_out(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy().astype(np.int64)
@@ -61,6 +71,11 @@ def build(vectors: DataFrame, block_rows: int = 2048) -> DataFrame:
     return written(rows.groupBy("block").applyInArrow(lay_out, _INDEX), "impact-index")
 
 
+def _part(parts: int):
+    """One of ``parts`` for every row, evenly, by a hash of its place in the table."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+
+
 def _matrix(rows: list[list[int]]) -> np.ndarray:
     values = np.zeros((len(rows), max(1, max(map(len, rows)))), np.int64)
     for k, row in enumerate(rows):
@@ -75,6 +90,7 @@ class Block:
         rows, width = row["rows"], row["width"]
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.values = np.frombuffer(row["vectors"], np.int64).reshape(rows, width)
+        self.largest = int(np.abs(self.values).max(initial=0))
         order = np.frombuffer(row["order"], np.int32).reshape(width, rows)
         level = np.frombuffer(row["level"], np.int8).reshape(width, rows)
         # Segments, dimension by dimension: where they begin in the postings, their values' bounds.
@@ -124,6 +140,8 @@ class Block:
         """The k highest (ids, scores) of rows with other ids; ties to smaller ids."""
         width = max(len(query), self.values.shape[1])
         query = np.pad(query, (0, width - len(query)))[: self.values.shape[1]]
+        if int(np.abs(query).max(initial=0)) * self.largest * width >= _EXACT:
+            raise OverflowError(f"scores of query {query_id} may exceed 53 bits")
         rows = self.possible(query, self.ids == query_id, k, few=len(self.ids) // 16)
         scores = self.values[rows] @ query
         best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -134,15 +152,18 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int =
     """Return ``query_id, rank, vec_id, score``: for every query its k best vectors of the index.
 
     ``queries`` has vec_id and vector; those with a null in either ask nothing. Indexed vectors with
-    the query's own id are left out; a repeated row of the index counts once for each. Ties
-    go to the smaller vec_id. Missing components count as 0. A query gets fewer than k rows only where
-    there are fewer others, and an empty index none. Scores have to fit 53 bits. Queries, in chunks, meet
-    every block of the index; no task holds more than some chunks and blocks.
+    the query's own id are left out; a repeated row of the index counts once for each, and each row of
+    a repeated query has ranks of its own. Ties go to the smaller vec_id. Missing components count as 0. A
+    query gets fewer than k rows only where there are fewer others, and an empty index none. Scores
+    that may not fit 53 bits are an error. Queries, in chunks, meet every block of the index; no task
+    holds more than some chunks and blocks. Needs folder ``spark.checkpoint.dir``; runs jobs.
     """
     queries = queries.filter("vec_id is not null and vector is not null")
+    # Written, so that every use sees the same numbers.
+    queries = written(queries.select("vec_id", "vector", F.monotonically_increasing_id().alias("row")), "asked")
     chunks = max(1, -(-queries.count() // chunk_rows))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")).agg(
-        F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("asked")
+    asked = queries.groupBy(F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")).agg(
+        F.collect_list(F.struct("row", "vec_id", "vector")).alias("asked")
     )
     last = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
@@ -152,19 +173,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, chunk_rows: int =
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1).to_pylist()[0]
-                block, found = Block(one), [[], [], []]
+                block, found = Block(one), [[], [], [], []]
                 for asked in one["asked"]:
                     query = np.array(asked["vector"], np.int64)
                     ids, scores = block.top(asked["vec_id"], query, k)
-                    found[0] += [asked["vec_id"]] * len(ids)
-                    found[1] += ids.tolist()
-                    found[2] += scores.tolist()
+                    found[0] += [asked["row"]] * len(ids)
+                    found[1] += [asked["vec_id"]] * len(ids)
+                    found[2] += ids.tolist()
+                    found[3] += scores.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"]
+                    [pa.array(x, pa.int64()) for x in found], ["row", "query_id", "vec_id", "score"]
                 )
 
-    each = met.mapInArrow(find, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    each = met.mapInArrow(find, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
         each.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)

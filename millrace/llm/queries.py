@@ -348,21 +348,21 @@ SQL: dict[str, str] = {
         from judged
     """,
     "op4_impact_topk": """
-        with whole as (
-            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+        with whole as materialized (
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
             from embeddings
             where embedding is not null
                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ),
         scored as (
-            select q.vec_id as query_id, w.vec_id,
+            select q.row, q.vec_id as query_id, w.vec_id,
                 list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * w.v[i]))::bigint
                     as score
             from whole q join whole w on q.vec_id <> w.vec_id
             where q.vec_id % 100 = 0
         ),
         ranked as (
-            select *, row_number() over (partition by query_id order by score desc, vec_id)::int
+            select *, row_number() over (partition by row order by score desc, vec_id)::int
                 as rank
             from scored
         )
