@@ -86,9 +86,11 @@ def asof_join(
     found = cut.select("*", F.last(here, ignorenulls=True).over(to_here).alias("_match"))
     found = found.filter("_left is not null")
 
-    # Only the last key of a range goes on into the next one: one row per range is carried.
+    # Only a range's last key goes on into the next one, and only into its first key: two rows per
+    # range meet by key, and the carried ones are at most one per range.
     key = F.struct(*keys)
     ends = cut.groupBy("_piece").agg(
+        F.min(key).alias("_first"),
         F.max(key).alias("_key"),
         F.max_by(
             F.struct(key.alias("key"), here.alias("match")),
@@ -96,12 +98,20 @@ def asof_join(
         ).alias("_last"),
     )
     own = F.when(F.col("_last.key") == F.col("_key"), F.col("_last.match"))
-    so_far = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    nothing_yet = F.when(F.lit(False), own)
+    both_ends = F.array(
+        F.struct(F.col("_first").alias("key"), F.lit(0).alias("end"), nothing_yet.alias("match")),
+        F.struct(F.col("_key").alias("key"), F.lit(1).alias("end"), own.alias("match")),
+    )
+    ends = ends.select("_piece", F.explode(both_ends).alias("x")).select("_piece", "x.*")
+    earlier = Window.partitionBy("key").orderBy("_piece", "end")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        F.lead("_piece").over(Window.orderBy("_piece")).alias("_into"),
-        F.last(own, ignorenulls=True).over(so_far).alias("_before"),
-        "_key",
-    ).filter("_into is not null and _before is not null")
+        F.col("_piece").alias("_into"),
+        F.col("key").alias("_key"),
+        "end",
+        F.last("match", ignorenulls=True).over(earlier).alias("_before"),
+    ).filter("end = 0 and _before is not null")
     same = (F.col("_piece") == F.col("_into")) & (key == F.col("_key"))
     found = found.join(carried, same, "left").select("_left", "_at", "_match", "_before")
     match = F.coalesce("_match", "_before")

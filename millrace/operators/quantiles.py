@@ -30,7 +30,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, str]) ->
     """
     data = df.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(value).alias("_v"))
     data = data.filter(F.col("_v").isNotNull())
-    own = [f"_{k}" for k in keys]
+    # Without keys a constant that Spark does not see as one, so that joins by it stay joins by key.
+    own = [f"_{k}" for k in keys] or ["_all"]
+    if not keys:
+        data = data.withColumn("_all", F.pmod(F.hash("_v"), F.lit(1)))
     finite = F.when(_is_finite(F.col("_v")), F.col("_v"))
     totals = data.groupBy(*own).agg(
         F.count("*").alias("n_rows"), F.min(finite).alias("low"), F.max(finite).alias("high")
