@@ -300,9 +300,8 @@ def _groups(
     )
     pairs = pairs.distinct().join(_side(own, "a"), "a").join(_side(own, "b"), "b")
     pairs = written(pairs.filter(_possible(percent)).select("a", "b").distinct(), "pairs")
-    texts = classes.select("node", "row").join(members.select("node").distinct(), "node")
-    texts = signed.select("row", "text").join(texts, "row").select("node", "text")
-    texts = written(texts, "texts")
+    nodes = classes.select("node", "row")
+    texts = _texts_of(signed, nodes, _ends(pairs))
     links = confirmed(pairs, texts, words, percent)
     if by_id:
         links = links.unionByName(_of_one_id(usable, classes))
@@ -324,6 +323,7 @@ def _groups(
     )
     pairs = left.join(right, "band").filter((F.col("root_a") < F.col("root_b")) & _possible(percent))
     pairs = written(pairs.select("a", "b").distinct(), "possible")
+    texts = _texts_of(signed, nodes, _ends(pairs).unionByName(large.select("node")))
     more = confirmed(pairs, texts, words, percent).unionByName(
         confirmed_in_blocks(large, texts, words, percent, block)
     )
@@ -336,6 +336,16 @@ def _groups(
     return found.select("set_key", "first", F.coalesce("root", "node").alias("root"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _texts_of(signed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes, which are few of all; written, as it is joined several times."""
+    rows = written(nodes.join(wanted.distinct(), "node"), "wanted")
+    return written(signed.select("row", "text").join(rows, "row").select("node", "text"), "texts")
+
+
 def _of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the sets of rows that share an id."""
     placed = usable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
