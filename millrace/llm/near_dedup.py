@@ -32,6 +32,7 @@ from pyspark.sql.types import StructType
 
 from ..workspace import written
 from .components import components
+from .keyed import with_keys, without_keys
 from .wordhash import mix, shingle_hashes, slices, small, text_buffers, word_hashes
 
 MINIMA = 128
@@ -343,7 +344,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _texts_of(signed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the wanted nodes, which are few of all; written, as it is joined several times."""
     rows = written(nodes.join(wanted.distinct(), "node"), "wanted")
-    return written(signed.select("row", "text").join(rows, "row").select("node", "text"), "texts")
+    some = with_keys(signed.select("row", "text"), rows, "row")
+    return written(some.join(rows, "row").select("node", "text"), "texts")
 
 
 def _of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
@@ -373,8 +375,14 @@ def representatives(
     groups = written(groups.select("set_key", "root"), "groups")
     best = usable.join(groups, "set_key").groupBy("root").agg(F.min(rank).alias("best"))
     chosen = written(best.select(F.col("best.row").alias("row")), "chosen")
-    wordless = signed.filter("set_key is null")
-    return signed.join(chosen, "row", "left_semi").unionByName(wordless).select(*docs.columns)
+    dropped = written(usable.select("row").join(chosen, "row", "left_anti"), "dropped")
+    rows = signed.select(*docs.columns, "set_key", "row")
+    # Whole rows are looked up by the fewer of both, so that most of them are never shuffled.
+    if dropped.count() <= chosen.count():
+        return without_keys(rows, dropped, "row").select(*docs.columns)
+    wordless = rows.filter("set_key is null")
+    kept = with_keys(rows, chosen, "row").join(chosen, "row", "left_semi")
+    return kept.unionByName(wordless).select(*docs.columns)
 
 
 def near_duplicates(

@@ -9,7 +9,7 @@ import pytest
 from plain import groups
 from pyspark.sql import functions as F
 
-from millrace.llm import components, near_dedup
+from millrace.llm import components, keyed, near_dedup
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -96,3 +96,51 @@ def test_a_hub_of_many_links_is_split(spark, shared, monkeypatch):
     roots = components.components(links.unionByName(spark.createDataFrame([(70_000, 70_001)], "lo bigint, hi bigint")), "lo", "hi")
     counts = {r.root: r["count"] for r in roots.groupBy("root").count().collect()}
     assert counts == {0: 60_000, 70_000: 2}
+
+
+def shuffled_rows(df, column):
+    """Rows that the executed plan of ``df`` wrote into shuffles that carry ``column``."""
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif "QueryStage" in name:
+            left.append(node.plan())
+        elif name == "Exchange" and f"{column}#" in node.output().toString():
+            found += node.metrics().get("shuffleRecordsWritten").get().value()
+        left += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_most_texts_are_not_shuffled(spark, shared, copies):
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(20))) for k in range(400)]
+    rows += [(1000 * c + k, rows[k][1]) for c in range(1, copies + 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.representatives(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+        # The fewer of kept and dropped rows, and what the filter can't tell from them.
+        assert shuffled_rows(kept, "text") < 1.1 * min(400, 40 * copies) + 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 256, 1])
+def test_rows_are_looked_up_exactly(spark, shared, filter_bytes):
+    rows = [(None if k % 7 == 0 else k * 5 - 900, f"r{k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "key bigint, name string").repartition(3)
+    keys = [None, -900, *range(-895, 800, 15), 7]
+    table = spark.createDataFrame([(k,) for k in keys], "key bigint")
+    wanted = {k for k in keys if k is not None}
+    left = keyed.without_keys(df, table, "key", filter_bytes).select("key", "name").collect()
+    assert Counter(map(tuple, left)) == Counter(r for r in rows if r[0] not in wanted)
+    some = {tuple(r) for r in keyed.with_keys(df, table, "key", filter_bytes).collect()}
+    assert {r for r in rows if r[0] in wanted} <= some
+    assert len(some) < 200 or filter_bytes < 1000
+    assert keyed.with_keys(df, table.limit(0), "key").count() == 0
+    assert keyed.without_keys(df, table.limit(0), "key").count() == 1000
