@@ -13,6 +13,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import (
     fingerprints,
@@ -327,6 +328,28 @@ def test_fingerprints_estimate_similarity(spark, awkward, nothing):
     assert fingerprints.with_edits(nothing).count() == 0
 
 
+def test_fingerprints_fill_bins_as_a_plain_loop_does(spark):
+    texts = [None, "", " \t", "one", "a b c d e f", "x y " * 30, *(" ".join(map(str, range(n))) for n in (12, 90, 3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hashes = dict(docs.select("doc_id", fingerprints.shingle_hashes(F.col("text"), 5)).collect())
+    b = F.col("id").cast("int")
+    probes = [
+        [(r.start + t * (r.step % 64 * 2 + 1)) % 128 for t in range(128)]
+        for r in spark.range(128).orderBy("id").select(*(F.xxhash64(b, F.lit(c)).alias(c) for c in ("start", "step"))).collect()
+    ]
+    found = fingerprints.with_edits(docs)
+    for r in found.collect():
+        least = {}
+        for h in hashes[r.doc_id] or []:
+            bin_ = h % 2**64 >> 57
+            least[bin_] = min(h, least.get(bin_, h))
+        low = [least[next(p for p in (b, *probes[b]) if p in least)] % 16 for b in range(128) if least]
+        plain = "".join(f"{v:x}" for k in range(0, len(low), 16) for v in reversed(low[k : k + 16]))
+        assert r.fingerprint == plain, texts[r.doc_id]
+    # The order of probes is a constant: no bin of no row hashes its number again.
+    assert not re.search(r"xxhash64\([^()]*\b(start|step)\b", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_mixing_meets_targets(spark, awkward, nothing):
     for docs in (documents(spark), awkward):
         found = mixing.mixed(docs).collect()
